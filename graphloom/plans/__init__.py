@@ -6,7 +6,7 @@ import importlib
 
 from graphloom.plans.registry import CORE, Registry
 
-MODULES = ("references",)
+MODULES = ("references", "nested", "hierarchy")
 
 
 def load_core() -> Registry:
