@@ -8,14 +8,14 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.session import written
 
-OBJECT = "hash string, id_self string, guid_self string, is_item boolean, field string, n_child int"
-BRIDGE = "ordinal int, parent int, position int, path string, guid_holder string, hash string"
+OBJECT = "hash binary, id_self string, guid_self string, is_item boolean, field string, n_child int"
+BRIDGE = "ordinal int, parent int, position int, path string, guid_holder string, hash binary"
 _DEPTH = 100_000
 
 
@@ -65,12 +65,12 @@ def shred(value, base: str, holder: str | None) -> tuple[list[tuple], dict[str,
                 else:
                     flat.append(name + _encode(v))
             flat.sort()
-            key = hashlib.blake2b(("{" + ",".join(sorted(parts + flat)) + "}").encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            key = hashlib.blake2b(("{" + ",".join(sorted(parts + flat)) + "}").encode("utf-8", "surrogatepass"), digest_size=16).digest()
             row[5] = key
             if key not in objects:
                 id_text, guid_text = own if isinstance(own, str) else None, guid if isinstance(guid, str) else None
                 objects[key] = (key, id_text, guid_text, id_text is not None or guid_text is not None, "{" + ",".join(flat) + "}", len(parts))
-            return "#" + key
+            return "#" + key.hex()
         if isinstance(node, list):
             return "[" + ",".join([walk(v, f"{path}.{i}" if path else str(i), parent, i, holder) for i, v in enumerate(node)]) + "]"
         return _encode(node)
@@ -85,27 +85,32 @@ def _clean(text: str | None) -> str | None:
 
 
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shred the first readable document of each run of equal (location, path)."""
     sys.setrecursionlimit(_DEPTH)
-    bridge = pa.list_(pa.struct([("ordinal", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("path", pa.string()), ("guid_holder", pa.string()), ("hash", pa.string())]))
-    found = pa.list_(pa.struct([("hash", pa.string()), ("id_self", pa.string()), ("guid_self", pa.string()), ("is_item", pa.bool_()), ("field", pa.string()), ("n_child", pa.int32())]))
+    bridge = pa.list_(pa.struct([("ordinal", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("path", pa.string()), ("guid_holder", pa.string()), ("hash", pa.binary())]))
+    found = pa.list_(pa.struct([("hash", pa.binary()), ("id_self", pa.string()), ("guid_self", pa.string()), ("is_item", pa.bool_()), ("field", pa.string()), ("n_child", pa.int32())]))
     names_b, names_o = [f.name for f in bridge.value_type], [f.name for f in found.value_type]
+    last = None
     for batch in batches:
-        location, path, holder, when, text = (c.to_pylist() for c in batch.columns)
+        location, path, holder, text = (c.to_pylist() for c in batch.columns)
         kept, rows_b, rows_o = [], [], []
         for i, t in enumerate(text):
+            if (location[i], path[i]) == last:
+                continue
             ok, value = parse(t)
             if ok:
                 try:
-                    rows, objects = shred(value, path[i] or "", holder[i])
+                    rows, objects = shred(value, path[i], holder[i])
                 except RecursionError:
                     continue
+                last = location[i], path[i]
                 kept.append(i)
                 rows_b.append([{n: _clean(x) if isinstance(x, str) else x for n, x in zip(names_b, r)} for r in rows])
                 rows_o.append([{n: _clean(x) if isinstance(x, str) else x for n, x in zip(names_o, r)} for r in objects.values()])
         take = lambda values, kind: pa.array([values[i] for i in kept], kind)
         yield pa.RecordBatch.from_arrays(
-            [take(location, pa.string()), take(path, pa.string()), pa.array([when[i] for i in kept], batch.schema.field(3).type), pa.array(rows_b, bridge), pa.array(rows_o, found)],
-            names=["location", "path", "received_at", "bridge", "object"],
+            [take(location, pa.string()), take(path, pa.string()), pa.array(rows_b, bridge), pa.array(rows_o, found)],
+            names=["location", "path", "bridge", "object"],
         )
 
 
@@ -130,16 +135,16 @@ class Nested:
         return rows.groupBy("hash").agg(*[F.any_value(c).alias(c) for c in rows.columns if c != "hash"])
 
     def items(self) -> DataFrame:
-        """Occurrences of items, joined with their objects by hash."""
-        known = self.object.where("is_item").select("hash", "id_self", "guid_self", "field")
-        return self.bridge.join(known, "hash")
+        """Occurrences of items: those whose hash is among the items stored."""
+        known = self._rows.select(F.inline("object")).where("is_item").select("hash").distinct()
+        return self.bridge.join(known, "hash", "left_semi")
 
 
 def nested(rows: DataFrame) -> Nested:
     """Shred JSON documents (location, path, guid_holder, document, received_at).
 
     Of the rows of one (location, path) the readable one with the greatest
-    received_at holds (null times are least; ties go to the greatest content
+    received_at holds (null times are least; ties go to the least content
     hash). A null path counts as the whole document. Unreadable, missing or
     blank documents give nothing; other columns are ignored. A document
     nested deeper than the parser's limit counts as unreadable.
@@ -148,12 +153,15 @@ def nested(rows: DataFrame) -> Nested:
         [
             T.StructField("location", T.StringType()),
             T.StructField("path", T.StringType()),
-            T.StructField("received_at", rows.schema["received_at"].dataType),
             T.StructField("bridge", T.ArrayType(T._parse_datatype_string(BRIDGE))),
             T.StructField("object", T.ArrayType(T._parse_datatype_string(OBJECT))),
         ]
     )
-    flat = rows.select("location", F.coalesce("path", F.lit("")).alias("path"), "guid_holder", "received_at", "document")
-    shredded = flat.mapInArrow(_shred_batches, kinds)
-    newest = Window.partitionBy("location", "path").orderBy(F.desc_nulls_last("received_at"), F.desc(F.xxhash64("bridge.hash")))
-    return Nested(written(shredded.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")))
+    key = ["location", "path"]
+    flat = (
+        rows.select("location", F.coalesce("path", F.lit("")).alias("path"), "guid_holder", "received_at", "document")
+        .where("document is not null")
+        .repartition(*key)
+        .sortWithinPartitions(*key, F.desc_nulls_last("received_at"), F.xxhash64("document"), "guid_holder")
+    )
+    return Nested(written(flat.select(*key, "guid_holder", "document").mapInArrow(_shred_batches, kinds)))
