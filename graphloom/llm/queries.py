@@ -7,12 +7,37 @@ from pyspark.sql import functions as F
 from graphloom.llm.codedoc import code_pairs, symbols
 from graphloom.llm.leakage import SPAN, leaks
 from graphloom.llm.lookalike import canonical, look_pairs
+from graphloom.llm.mixture import mix, shares
 from graphloom.llm.neardup import alike
+from graphloom.llm.quality import COMMON, label_shares, text_statistics
+from graphloom.llm.readability import reading_levels
 from graphloom.plans.registry import Registry
 from graphloom.session import table
 
 LLM = Registry()
 
+_COMMON = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
+STATISTICS_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+p as (
+  select doc_id, t, list_filter(regexp_split_to_array(t, '[ 	
+
+]+'), lambda w: w <> '') as w,
+         list_filter(regexp_split_to_array(t, '[
+
+]+'), lambda x: trim(replace(x, chr(9), ' ')) <> '') as l,
+         regexp_extract_all(lower(t), '[a-zäöüßéèêàçù]+') as a from d)
+select doc_id, length(t)::bigint as n_char, len(w)::bigint as n_word,
+  round(case when len(w) > 0 then list_sum(list_transform(w, lambda x: length(x))) / len(w) end, 6) as mean_word_length,
+  round(case when length(t) > 0 then length(regexp_replace(t, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(t) end, 6) as symbol_ratio,
+  round(case when length(t) > 0 then (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) / length(t) end, 6) as digit_ratio,
+  len(l)::bigint as n_line,
+  round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '[.!?]["''\)\]]*[ 	]*$'))) / len(l) end, 6) as end_share,
+  round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '^[ 	]*([-*+•]|[0-9]+[.)])[ 	]'))) / len(l) end, 6) as bullet_share,
+  round(case when len(a) > 0 then len(list_filter(a, lambda x: x in ({_COMMON}))) / len(a) end, 6) as common_share,
+  round(case when len(w) > 0 then len(list_distinct(w)) / len(w) end, 6) as distinct_share
+from p"""
+
 
 @LLM.add("p1_found")
 def p1_found(spark, folder):
@@ -54,3 +79,48 @@ def p8_found(spark, folder):
 def p8_leaks(spark, folder):
     """Overlaps with at most one substituted word in any twelve, too."""
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_case"))
+
+
+@LLM.add("p2_found")
+def p2_found(spark, folder):
+    return reading_levels(table(spark, folder, "item"), table(spark, folder, "graded")).where("level = 'specialist'").select("guid")
+
+
+@LLM.add("p2_levels")
+def p2_levels(spark, folder):
+    return reading_levels(table(spark, folder, "item"), table(spark, folder, "graded"))
+
+
+@LLM.add("p2_profile")
+def p2_profile(spark, folder):
+    """Items and words by type prefix and level, with the difficulty's quartiles."""
+    levels = reading_levels(table(spark, folder, "item"), table(spark, folder, "graded"))
+    return levels.groupBy(F.substring_index("guid", "_", 1).alias("prefix"), "level").agg(
+        F.count(F.lit(1)).alias("n_item"), F.sum("n_word").alias("n_word"), F.percentile_approx("difficulty", [0.25, 0.5, 0.75]).alias("quartile")
+    )
+
+
+@LLM.add("p9_mix")
+def p9_mix(spark, folder):
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+@LLM.add("p9_shares")
+def p9_shares(spark, folder):
+    targets = table(spark, folder, "mix_target")
+    return shares(mix(table(spark, folder, "documents"), targets), targets)
+
+
+@LLM.add("p10_found")
+def p10_found(spark, folder):
+    return label_shares(table(spark, folder, "documents"), table(spark, folder, "doc_label")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@LLM.add("p10_shares")
+def p10_shares(spark, folder):
+    return label_shares(table(spark, folder, "documents"), table(spark, folder, "doc_label"))
+
+
+@LLM.add("p10_stats", STATISTICS_SQL)
+def p10_stats(spark, folder):
+    return text_statistics(table(spark, folder, "documents"))
