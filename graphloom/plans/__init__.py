@@ -6,7 +6,7 @@ import importlib
 
 from graphloom.plans.registry import CORE, Registry
 
-MODULES = ("references", "nested", "hierarchy")
+MODULES = ("references", "nested", "hierarchy", "stored")
 
 
 def load_core() -> Registry:
