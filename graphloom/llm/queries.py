@@ -20,20 +20,16 @@ _COMMON = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
 STATISTICS_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 p as (
-  select doc_id, t, list_filter(regexp_split_to_array(t, '[ 	
-
-]+'), lambda w: w <> '') as w,
-         list_filter(regexp_split_to_array(t, '[
-
-]+'), lambda x: trim(replace(x, chr(9), ' ')) <> '') as l,
+  select doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\r]+'), lambda w: w <> '') as w,
+         list_filter(regexp_split_to_array(t, '[\n\r]+'), lambda x: trim(replace(x, chr(9), ' ')) <> '') as l,
          regexp_extract_all(lower(t), '[a-zäöüßéèêàçù]+') as a from d)
 select doc_id, length(t)::bigint as n_char, len(w)::bigint as n_word,
   round(case when len(w) > 0 then list_sum(list_transform(w, lambda x: length(x))) / len(w) end, 6) as mean_word_length,
   round(case when length(t) > 0 then length(regexp_replace(t, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(t) end, 6) as symbol_ratio,
   round(case when length(t) > 0 then (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) / length(t) end, 6) as digit_ratio,
   len(l)::bigint as n_line,
-  round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '[.!?]["''\)\]]*[ 	]*$'))) / len(l) end, 6) as end_share,
-  round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '^[ 	]*([-*+•]|[0-9]+[.)])[ 	]'))) / len(l) end, 6) as bullet_share,
+  round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '[.!?]["''\)\]]*[ \t]*$'))) / len(l) end, 6) as end_share,
+  round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*([-*+•]|[0-9]+[.)])[ \t]'))) / len(l) end, 6) as bullet_share,
   round(case when len(a) > 0 then len(list_filter(a, lambda x: x in ({_COMMON}))) / len(a) end, 6) as common_share,
   round(case when len(w) > 0 then len(list_distinct(w)) / len(w) end, 6) as distinct_share
 from p"""
