@@ -50,7 +50,6 @@ class Levels:
         best = met.groupBy("guid").agg(F.min(F.struct("from_pos", "side", "ord", "guid_from", "id_relation")).alias("x"))
         rows = best.select("guid", "x.from_pos", "x.guid_from", "x.id_relation", "x.side", "x.ord")
         level = numbered(rows, "from_pos", "side", "ord", "guid").select("guid", "pos", "guid_from", "id_relation", "side", "ord")
-        level = written(level)
         if level.isEmpty():
             return False
         self.levels.append(level)
