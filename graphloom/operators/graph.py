@@ -298,8 +298,11 @@ def describers(edge: DataFrame, relations: list[str]) -> DataFrame:
 
 
 def flagged(register: DataFrame, flag: Column | str) -> list[str]:
-    """Relations whose register entry sets a flag [GRF-18]; the register is small and fixed."""
-    return [r[0] for r in register.where(F.col(flag) if isinstance(flag, str) else flag).select("id_relation").orderBy("id_relation").limit(10_000).collect()]
+    """Relations whose register entry sets a flag [GRF-18]; a register of more than 10,000 relations is refused."""
+    rows = register.where(F.col(flag) if isinstance(flag, str) else flag).select("id_relation").distinct().orderBy("id_relation").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 relations are flagged")
+    return [r[0] for r in rows]
 
 
 def renamed(items: DataFrame, old: str, new: str) -> DataFrame:
