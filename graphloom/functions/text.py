@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no concept.
 STOP = (
@@ -49,7 +50,7 @@ def capture_digest(version: Column, uri: Column, author: Column, published: Colu
     return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\n", *parts), 256))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_capture(text: pd.Series) -> pd.Series:
     """Composed characters, one kind of line end, paragraphs kept, other white space single [FN-08]."""
 
@@ -63,7 +64,7 @@ def canonical_capture(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def document_digest(document: pd.Series) -> pd.Series:
     """First 8 hex digits of the digest of a JSON document with its keys in order; null if it doesn't parse [FN-03]."""
 
@@ -90,10 +91,9 @@ def words(c: Column | str) -> Column:
 def phrases(c: Column | str, least: int = 3) -> Column:
     """Words of at least ``least`` letters and pairs of neighbouring words, stop words aside [FN-21, WIN-11]."""
     w = words(c)
-    stop = F.array(*[F.lit(s) for s in STOP])
-    single = F.filter(w, lambda x: (F.length(x) >= least) & ~F.array_contains(stop, x))
+    single = F.filter(w, lambda x: (F.length(x) >= least) & ~x.isin(STOP))
     pair = F.transform(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.size(w)).alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    kept = F.filter(pair, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & ~F.array_contains(stop, p["a"]) & ~F.array_contains(stop, p["b"]))
+    kept = F.filter(pair, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & ~p["a"].isin(STOP) & ~p["b"].isin(STOP))
     return F.concat(single, F.transform(kept, lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 

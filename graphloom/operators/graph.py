@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.facts import FactDatabase, labelled
 from graphloom.operators.order import numbered
-from graphloom.session import forget, written
+from graphloom.session import forget, rows_in, written
 
 _STEP = ("depth", "guid", "guid_from", "id_relation", "direction")
 
@@ -49,8 +49,10 @@ class Levels:
         met = self.adjacent.join(front, "guid_from").join(self.seen, "guid", "left_anti")
         best = met.groupBy("guid").agg(F.min(F.struct("from_pos", "side", "ord", "guid_from", "id_relation")).alias("x"))
         rows = best.select("guid", "x.from_pos", "x.guid_from", "x.id_relation", "x.side", "x.ord")
-        level = numbered(rows, "from_pos", "side", "ord", "guid").select("guid", "pos", "guid_from", "id_relation", "side", "ord")
-        if level.isEmpty():
+        level = numbered(rows, "from_pos", "side", "ord", "guid")
+        found = rows_in(level)
+        level = level.select("guid", "pos", "guid_from", "id_relation", "side", "ord")
+        if not found:
             return False
         self.levels.append(level)
         self.seen = self.seen.unionByName(level.select("guid"))
@@ -154,7 +156,7 @@ def reach(links: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataF
             seen = seen.unionByName(x.select("root", "node"))
         step = front.select("root", F.col("node").alias("a")).join(links, "a").select("root", F.col("b").alias("node")).distinct()
         new = written(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+        if not rows_in(new):
             forget(new)
             break
         levels.append(new)
@@ -184,24 +186,26 @@ def propagate(links: DataFrame, levels: DataFrame) -> DataFrame:
         step = front.select(F.col("node").alias("a"), "dimension", "level").join(links, "a").groupBy(F.col("b").alias("node"), "dimension").agg(F.max("level").alias("level"))
         if known is None:
             known = front = written(step)
+            better = rows_in(known)
         else:
             both = known.withColumnRenamed("level", "old").join(step, ["node", "dimension"], "full")
             merged = written(both.select("node", "dimension", F.greatest("old", "level").alias("level"), F.coalesce(F.col("level") > F.col("old"), F.col("old").isNull()).alias("better")))
             front = merged.where("better").select("node", "dimension", "level")
             known = merged.select("node", "dimension", "level")
-        if front.isEmpty():
+            better = front.limit(1).count()
+        if not better:
             return known
 
 
 def on_cycles(links: DataFrame) -> DataFrame:
     """Links (a, b) that lie on a cycle or between cycles: what is left after peeling sources and sinks [GRF-10, GRF-15]."""
     left = written(links.select("a", "b").where("a is not null and b is not null").distinct())
-    size = left.count()
+    size = rows_in(left)
     while size:
         nodes = left.select(F.col("a").alias("n")).intersect(left.select(F.col("b").alias("n")))
         kept = left.join(nodes.withColumnRenamed("n", "a"), "a", "left_semi").join(nodes.withColumnRenamed("n", "b"), "b", "left_semi").select("a", "b")
         kept = written(kept)
-        now = kept.count()
+        now = rows_in(kept)
         forget(left)
         left = kept
         if now == size:
@@ -237,7 +241,7 @@ def components(links: DataFrame) -> DataFrame:
         pairs = large.join(small_min, "b")
         star = written(pairs.select(F.col("m").alias("a"), "b").unionByName(pairs.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
         forget(large)
-        same = star.count() == edges.count() and star.join(edges, ["a", "b"], "left_anti").isEmpty()
+        same = rows_in(star) == rows_in(edges) and star.join(edges, ["a", "b"], "left_anti").isEmpty()
         forget(edges)
         edges = star
         if same:
@@ -253,7 +257,7 @@ def topological_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     level, out = 0, None
     while True:
         free = written(rest.join(left.select(F.col("b").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
+        if not rows_in(free):
             return out if out is not None else free
         out = free if out is None else out.unionByName(free)
         rest = written(rest.join(free, "node", "left_anti"))
@@ -269,7 +273,7 @@ def expanded(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     for d in range(1, depth + 1):
         step = front.join(links, front["node"] == links["a"]).where(~F.array_contains("path", F.col("b")))
         front = written(step.select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("node"), F.lit(d).alias("depth")))
-        if front.isEmpty():
+        if not rows_in(front):
             break
         out = out.unionByName(front)
     parents = links.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("next"))

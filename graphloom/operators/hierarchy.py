@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import forget, written
+from graphloom.session import forget, rows_in, written
 
 #: Links that one task may merge in memory.
 TASK_LINKS = 2_000_000
@@ -74,7 +74,7 @@ def resolve(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     rest, of bounded size, is merged in one task.
     """
     local = written(links.where("parent is not null").select("node", F.col("parent").alias("top"), F.lit(1).alias("off")).mapInPandas(_forests(False), _STATE))
-    state, total, rounds = local, local.count(), 0
+    state, total, rounds = local, rows_in(local), 0
     if not total:
         return state
     done = state.where(F.col("state") != OPEN)

@@ -41,7 +41,7 @@ def parents(*tables: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("recorded_at", "status", "id")).alias("last"), F.min("recorded_at").alias("since"))
         .select("guid", F.col("last.id").alias("id"), is_deleted("last.status").alias("deleted"), "since")
     )
-    since = F.when(~F.col("deleted"), F.coalesce("since", F.lit("0001-01-01").cast("timestamp")))
+    since = F.when(~F.col("deleted"), F.coalesce("since", F.lit("0001-01-01").cast(held.schema["since"].dataType)))
     pair = F.explode(F.array(F.struct(F.lit("g").alias("kind"), F.col("guid").alias("key")), F.struct(F.lit("i").alias("kind"), F.col("id").alias("key"))))
     return (
         held.select(pair.alias("k"), since.alias("since"))
@@ -87,7 +87,7 @@ def dictionary(refs: DataFrame, known: DataFrame) -> DataFrame:
     are stable because they are read back from the written table.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    both = refs.select("kind", "key", "period", none("timestamp").alias("since"), F.lit(False).alias("present")).unionByName(
+    both = refs.select("kind", "key", "period", none(known.schema["since"].dataType).alias("since"), F.lit(False).alias("present")).unionByName(
         known.select("kind", "key", none("int").alias("period"), "since", F.lit(True).alias("present"))
     )
     keys = both.groupBy("kind", "key").agg(F.collect_set("period").alias("periods"), F.max("present").alias("present"), F.max("since").alias("since"))

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[8]", name: str = "graphloom", **conf: str) -> SparkSession:
@@ -51,18 +52,25 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    The copy survives the loss of any executor and is removed when the
+    Rows are counted on the way (see ``rows_in``). The copy survives the loss of any executor and is removed when the
     driver ends, or earlier by ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path
+    out._graphloom_path, out._graphloom_rows = path, seen.get["n"]
     return out
 
 
+def rows_in(df: DataFrame) -> int:
+    """Number of rows: known for a written table, else counted."""
+    known = getattr(df, "_graphloom_rows", None)
+    return df.count() if known is None else known
+
+
 def forget(df: DataFrame | None) -> None:
     """Remove a table that ``written`` made, once nothing reads it any more."""
     path = getattr(df, "_graphloom_path", None)
