@@ -1,0 +1,89 @@
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import nested as N
+from graphloom.functions import text as X
+
+
+def one(spark, column, **values):
+    schema = ", ".join(f"{k} string" for k in values) or "x string"
+    return spark.createDataFrame([tuple(values.values()) or (None,)], schema).select(column.alias("v")).first()[0]
+
+
+def test_squeezed_and_keys(spark):
+    assert one(spark, X.squeezed("t"), t="\xa0 a \n b ") == "a b"
+    assert one(spark, X.squeezed("t"), t=None) is None
+    assert one(spark, X.content_key("t"), t="abc").startswith("cba7816bf")
+
+
+def test_phrases(spark):
+    assert one(spark, X.phrases("t"), t="The control case of id_term is a big cat") == ["control", "case", "big", "cat", "control case", "big cat"]
+    assert one(spark, X.phrases("t"), t="") == []
+    assert one(spark, X.singulars("t"), t="control cases") == ["control cases", "control cas", "control case"]
+    assert set(one(spark, X.inner_runs("t"), t="a b c")) == {"a", "b", "c", "a b", "b c", "a b c"}
+
+
+def test_shingles(spark):
+    assert one(spark, X.shingles(F.split("t", " "), 4), t="a b c d e") == ["a b c d", "b c d e"]
+    assert one(spark, X.shingles(F.split("t", " "), 4), t="a b c") == []
+
+
+def test_quantities(spark):
+    assert one(spark, X.quantity_tokens("t"), t="10 000 kg at 24/7 of 3D, 5.5 %") == ["10000", "kg", "at", "24/7", "of", "3D", ",", "5.5", "%"]
+    assert one(spark, X.acronyms("t"), t="ABC and AB but A or ABCDEFG") == ["AB", "ABC"]
+    assert one(spark, X.unit_shaped(F.col("t")), t="m/s") and one(spark, X.unit_shaped(F.col("t")), t="kWh") and not one(spark, X.unit_shaped(F.col("t")), t="word")
+    assert "calculation" in one(spark, X.noun_forms("t"), t="calculate") and "listing" in one(spark, X.noun_forms("t"), t="list")
+
+
+def test_sentences(spark):
+    slots = dict(condition_kind=None, condition=None, entity="tool", obligation="shall", activity="autonomous", actor=None, process="print", object="a page.", qualifier=None)
+    assert one(spark, X.requirement_sentence(), **slots) == "The tool shall print a page."
+    slots |= dict(condition_kind="event", condition="it rains", activity="interaction", actor="user")
+    assert one(spark, X.requirement_sentence(), **slots) == "As soon as it rains, the tool shall provide the user with the ability to print a page."
+    assert one(spark, X.requirement_sentence(), **(slots | {"actor": None})) is None
+    assert one(spark, X.need_sentence(), context="town", subject="people", outcome="water", purpose="drink", entity="well") == "In town, people need water from the well, in order to drink."
+
+
+def test_forms_and_dates(spark):
+    assert one(spark, X.well_formed("i", "g"), i="Bad Id", g="x_1") == ["id_form", "guid_form", "prefix_pair"]
+    assert one(spark, X.well_formed("i", "g"), i="t_a.b", g="t_" + "0" * 32) == []
+    assert one(spark, X.expired("d", F.lit("2024-01-02")), d="2024-01-01") and not one(spark, X.expired("d", F.lit("2024-01-02")), d="2024-01-02")
+    assert one(spark, X.expired("d", F.lit("2024-01-02")), d="soon") is False
+    assert one(spark, X.object_form("t"), t="The big, a Page") == "big page"
+
+
+@pytest.mark.parametrize("a,b,want", [("x\ny", "x\ny", None), ("x\ny", "x\nz", 2), ("x", "x\ny", 2)])
+def test_first_difference(spark, a, b, want):
+    assert one(spark, X.first_difference(F.col("a"), F.col("b")), a=a, b=b) == want
+
+
+@pytest.mark.parametrize("pattern,path,want", [("a.*", "a.b", True), ("a.*", "a.b.c", False), ("**.c", "c", True), ("**.c", "a.b.c", True), ("a.**", "a", True), ("", "", True), ("a+.b", "a+.b", True), ("a+.b", "aa.b", False)])
+def test_path_patterns(spark, pattern, path, want):
+    assert one(spark, X.path_matches("p", pattern), p=path) is want
+
+
+def test_pick_and_put():
+    doc = {"a": {"b": 1, "c": None}, "l": [{"x": 1}, {"x": 2}], "n": None}
+    assert N.pick(doc) == doc
+    assert N.pick(doc, ("a.b",)) == {"a": {"b": 1}}
+    assert N.pick(doc, ("**.x",), ("l.0",)) == {"l": [{"x": 2}]}
+    assert N.pick(doc, ("n",)) == {"n": None} and N.pick(doc, ("zz",)) is None
+    assert N.put(doc, "l.2", 5)["l"][2] == 5 and N.put(doc, "a.b", 9)["a"]["b"] == 9
+    with pytest.raises(KeyError):
+        N.put(doc, "q.r", 1)
+    with pytest.raises(ValueError):
+        N.put(doc, "", 1)
+
+
+def test_json_columns(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ("broken",), (None,)], "d string")
+    assert [r[0] for r in df.select(N.with_value("d", "b", F.lit("x"))).collect()] == ['{"a": 1, "b": "x"}', None, None]
+    assert [r[0] for r in df.select(N.selected("d", ("a",))).collect()] == ['{"a": 1}', None, None]
+
+
+def test_capture_and_digest(spark):
+    df = spark.createDataFrame([("é  x\r\n\r\ny\tz",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.canonical_capture("t")).collect()] == ["é x\n\ny z", None]
+    d = spark.createDataFrame([('{"b":1,"a":2}',), ('{"a": 2, "b": 1}',), ("{",)], "t string")
+    a, b, c = (r[0] for r in d.select(X.document_digest("t")).collect())
+    assert a == b and len(a) == 8 and c is None
