@@ -38,7 +38,7 @@ def seed_hashes(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[np.nd
 
 
 def overlap(doc: np.ndarray, case: np.ndarray, shift: int) -> tuple[int, int]:
-    """(longest run of equal words, words covered by windows with at most one substitution) on one diagonal.
+    """(longest run of equal words, equal words in windows with at most one substitution) on one diagonal.
 
     ``shift`` is the place in the document minus the place in the case.
     """
@@ -53,7 +53,7 @@ def overlap(doc: np.ndarray, case: np.ndarray, shift: int) -> tuple[int, int]:
     mark = np.zeros(len(same) + 1, np.int64)
     np.add.at(mark, good, 1)
     np.add.at(mark, good + SPAN, -1)
-    return longest, int((np.cumsum(mark) > 0).sum())
+    return longest, int(((np.cumsum(mark)[:-1] > 0) & same).sum())
 
 
 @dataclass
@@ -161,8 +161,8 @@ def leaks(documents: DataFrame, cases: DataFrame, broadcast_seeds: int = BROADCA
     twelve words is hashed under each spaced seed, so a window with at most
     one substituted word is hit whatever stands there; around each hit the
     texts are compared word by word. ``longest`` is the longest run of equal
-    words, ``covered`` the number of the document's words in windows with at
-    most one substitution. The evaluation side goes to every task while its
+    words, ``covered`` the number of equal words in windows with at most one
+    substitution. The evaluation side goes to every task while its
     seeds are few, else both sides' seeds are joined by shuffle; the result
     is the same. Null, blank or shorter texts share nothing.
     """
