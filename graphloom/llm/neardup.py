@@ -15,6 +15,8 @@ from graphloom.session import written
 
 #: Shared pieces as a fraction of the pieces that either holds.
 THRESHOLD = 0.8
+#: Chunks in which two signatures must agree but for one bit; so many more than pigeonhole needs are made.
+MATCHES = 3
 #: Fewer tokens than this are too few to tell.
 LEAST = 24
 
@@ -39,13 +41,15 @@ def band_of(size: int, threshold: float) -> int:
 
 
 def chunks_of(band: int, threshold: float) -> int:
-    """Chunks for the sets of a band and the next: one more than half the greatest signature distance.
+    """Chunks for the sets of a band and the next: half the greatest signature distance, and MATCHES more.
 
     Sets of at most r pieces each with similarity t differ in at most
-    2 r (1 - t) / (1 + t) pieces, and so do their signatures in bits.
+    2 r (1 - t) / (1 + t) pieces, and so do their signatures in bits. Two
+    bits or more can differ in half as many chunks at most, so at least
+    MATCHES chunks agree but for one bit.
     """
     most = math.ceil(threshold ** -(band + 2))
-    return math.floor(2 * most * (1 - threshold) / (1 + threshold) + 1e-9) // 2 + 1
+    return math.floor(2 * most * (1 - threshold) / (1 + threshold) + 1e-9) // 2 + MATCHES
 
 
 def signature(pieces: np.ndarray, chunks: int) -> np.ndarray:
@@ -59,9 +63,10 @@ def signature(pieces: np.ndarray, chunks: int) -> np.ndarray:
 def _keys(threshold: float, index: bool):
     """Chunk values of both bands a set belongs to; the probing side also with each set bit cleared.
 
-    Some chunk of two signatures within the distance differs in one bit at
+    Some chunks of two signatures within the distance differ in one bit at
     most, by pigeonhole: chunks that are equal meet as they are, else the
-    one with the extra bit meets the other with that bit cleared.
+    one with the extra bit meets the other with that bit cleared. Either
+    way a chunk meets once in a band.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +75,7 @@ def _keys(threshold: float, index: bool):
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             start = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            keys, owner, full = [], [], []
+            keys, owner, full, bands = [], [], [], []
             for i in range(len(ids)):
                 pieces = flat[start[i] : start[i + 1]]
                 band = band_of(len(pieces), threshold)
@@ -90,8 +95,9 @@ def _keys(threshold: float, index: bool):
                     flag = np.zeros(len(whole), bool)
                     flag[:m] = True
                     full.append(flag)
+                    bands.append(np.full(len(whole), b, np.int16))
             join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.uint64).view(np.int64)), pa.array(join(owner, np.int64)), pa.array(join(full, bool))], names=["key", "class", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.uint64).view(np.int64)), pa.array(join(owner, np.int64)), pa.array(join(full, bool)), pa.array(join(bands, np.int16))], names=["key", "class", "whole", "band"])
 
     return run
 
@@ -126,8 +132,8 @@ def alike(rows: DataFrame, id: str = "body_id", piece: str = "piece", length: st
     a null length is long enough. Null pieces are ignored. Equal sets form
     one class, named by its least id; classes are joined by a multi-index
     Hamming join over signatures, which finds every pair within the
-    signature distance that the threshold allows, and each candidate is
-    compared exactly. Empty tables give empty results.
+    signature distance that the threshold allows, and each candidate that
+    agrees in MATCHES chunks is compared exactly. Empty tables give empty results.
     """
     sets = (
         rows.where(F.col(length).isNull() | (F.col(length) >= least))
@@ -138,11 +144,12 @@ def alike(rows: DataFrame, id: str = "body_id", piece: str = "piece", length: st
     first = sets.groupBy("h1", "h2").agg(F.min("id").alias("class"))
     member = written(sets.select("h1", "h2", "id").join(first, ["h1", "h2"]).select("class", "id"))
     heads = written(sets.join(member.where("class = id").select("id"), "id").select(F.col("id").alias("class"), "set"))
-    kinds = "key bigint, class bigint, whole boolean"
+    kinds = "key bigint, class bigint, whole boolean, band smallint"
     index = heads.mapInArrow(_keys(threshold, True), kinds).select("key", F.col("class").alias("c1"))
-    probe = heads.mapInArrow(_keys(threshold, False), kinds).select("key", F.col("class").alias("c2"), "whole")
+    probe = heads.mapInArrow(_keys(threshold, False), kinds).select("key", F.col("class").alias("c2"), "whole", "band")
     met = index.join(probe, "key").where("c1 < c2 or (c1 > c2 and not whole)")
-    candidate = met.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
+    agree = met.groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"), "band").agg(F.count(F.lit(1)).alias("n"))
+    candidate = agree.where(F.col("n") >= MATCHES).select("c1", "c2").distinct()
     one, two = heads.select(F.col("class").alias("c1"), F.col("set").alias("s1")), heads.select(F.col("class").alias("c2"), F.col("set").alias("s2"))
     counted = candidate.join(one, "c1").join(two, "c2").select("c1", "c2", F.size(F.array_intersect("s1", "s2")).alias("common"), F.size("s1").alias("n1"), F.size("s2").alias("n2"))
     either = F.col("n1") + F.col("n2") - F.col("common")
