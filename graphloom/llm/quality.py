@@ -66,19 +66,20 @@ _HEX = re.compile(r"(?:0x)?[0-9a-f]{4,}:?$")
 _GAP = re.compile(r"\S {2,}(?=\S)")
 _TAG = re.compile(r"</?\w+[^>]*>|&\w+;")
 _MOJIBAKE = re.compile("[ÃÂâ€�Ð][\u0080-ÿ€™œ“”°]?|ï»¿")
-_PLAIN = re.compile(r"[\w\s.,;:!?'\"()\-]")
 _END = re.compile(r"[.!?][\"')\]]*$")
+_FIELD = re.compile(r"\S+:\s+[|>]$")
+_LEADER = re.compile(r"\.{4,}\s*\d+$")
 _N = 30
 
 
 def line_words(line: str) -> int:
     """Pieces between spaces that have a letter or digit; all pieces of a line without any."""
     pieces = line.split()
-    return sum(any(map(str.isalnum, p)) for p in pieces) or len(pieces)
+    return len([p for p in pieces if p[0].isalnum() or any(map(str.isalnum, p))]) or len(pieces)
 
 
 def _shape(line: str) -> tuple[int, int, int, int, int]:
-    return line.count("|"), line.count("\t"), line.count(";"), line.count(","), len(_GAP.findall(line))
+    return line.count("|"), line.count("\t"), line.count(";"), line.count(","), len(_GAP.findall(line)) if "  " in line else 0
 
 
 _CODE = np.array([c - 96 if 97 <= c <= 122 else 27 if c == 63 else 0 for c in range(256)])
@@ -89,56 +90,79 @@ def letter_codes(words: list[str]) -> np.ndarray:
     return _CODE[np.frombuffer(f" {' '.join(words)} ".encode("ascii", "replace"), np.uint8)]
 
 
-def line_features(lines: list[str], letter: np.ndarray | None) -> np.ndarray:
+_DIGITS, _UPPER, _BLANKS = b"0123456789", bytes(range(65, 91)), b" \t\x0b\x0c\r\n"
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+_PLAIN_BYTES = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b"_ \t\x0b\x0c\r\n.,;:!?'\"()-"
+
+
+def line_features(lines: list[str], letter: np.ndarray) -> np.ndarray:
     """One row of statistics for each line, given its neighbours; ``letter`` scores letter pairs."""
-    out = np.zeros((len(lines), _N))
     shapes = [_shape(x) for x in lines]
-    again = Counter(x.strip() for x in lines)
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        solid = max(1, len(bare) - sum(map(str.isspace, bare)))
+    stripped = [x.strip() for x in lines]
+    again = Counter(stripped)
+    out, lows = [], []
+    for i, bare in enumerate(stripped):
+        raw = bare.encode("ascii", "replace")
+        digit = len(raw) - len(raw.translate(None, _DIGITS))
+        upper = len(raw) - len(raw.translate(None, _UPPER))
+        solid = max(1, len(raw.translate(None, _BLANKS)))
         pieces = bare.split()
         n = max(1, len(pieces))
-        words = _WORD.findall(bare)
-        low = [w.lower() for w in words]
-        nw = max(1, len(words))
-        row = out[i]
-        row[0] = sum(map(len, words)) / solid
-        row[1] = sum(map(str.isdigit, bare)) / solid
-        row[2] = 1 - len(_PLAIN.findall(bare)) / max(1, len(bare))
-        row[3] = sum(w in _COMMON for w in low) / nw
-        row[4] = bool(_BULLET.match(line))
-        row[5] = bool(_END.search(bare))
-        row[6] = min(n, 24) / 24
-        row[7] = min(1, shapes[i][0] / n)
-        row[8] = min(1, shapes[i][1] / n)
-        row[9] = min(1, shapes[i][4] / n) if not re.match(r"\S+:\s+[|>]$", bare) else 0
-        row[10] = min(1, shapes[i][3] / n)
-        row[11] = min(1, shapes[i][2] / n)
-        row[12] = min(1, bare.count('"') / (2 * n))
-        row[13] = min(1, 2 * len(_TAG.findall(bare)) / n)
-        row[14] = min(max(map(len, pieces), default=0), 60) / 60
-        row[15] = sum(bool(_MIX.search(p)) for p in pieces) / n
-        row[17] = sum(map(str.isupper, bare)) / solid
-        row[18] = min(1, 2 * len(_MOJIBAKE.findall(bare)) / n)
-        row[19] = 1 - len(set(zip(low, low[1:], low[2:]))) / (len(low) - 2) if len(low) > 4 else 0
-        row[20] = min(1, (again[bare] - 1) / 4) if any(map(str.isalnum, bare)) else 0
-        row[3] *= 1 - row[20]  # a line said over and over has no common words of its own
-        row[21] = sum(bool(_NUMBER.match(p)) for p in pieces) / n
-        near = [shapes[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-        row[22] = sum(any(a == b and a > 0 for a, b in zip(shapes[i], s)) for s in near) / 2
-        row[23] = bool(re.search(r"\.{4,}\s*\d+$", bare))
-        chunks = [c for c in re.split(r"[;,]", bare) if c.strip()]
-        row[24] = (len(chunks) > 2) * max(0.0, 1 - (len(words) / max(1, len(chunks))) / 6)
-        row[25] = min(sum(map(len, words)) / nw, 16) / 16
-        row[26] = bare[:1].islower()
-        row[27] = sum("_" in p for p in pieces) / n
-        row[28] = sum(bool(_HEX.match(p)) for p in pieces) / n
-        row[29] = n <= 6 and row[3] <= 0.34 and not row[5]
-        if letter is not None and low:
-            codes = letter_codes(low)
-            row[16] = letter[codes[:-1], codes[1:]].mean()
-    return out
+        low = raw.translate(_LETTERS).decode().split() if bare.isascii() else _WORD.findall(bare.lower())
+        letters = sum(map(len, low))
+        nw = max(1, len(low))
+        pipe, tab, semi, comma, gap = shapes[i]
+        ends = _END.search(bare) is not None
+        repeat = min(1, (again[bare] - 1) / 4) if letters or digit else 0
+        common = len([w for w in low if w in _COMMON]) / nw * (1 - repeat)  # a line said over and over has no common words of its own
+        mixed = len([p for p in pieces if _MIX.search(p)]) / n if (digit or upper > 1) and _MIX.search(bare) else 0
+        near = 0
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(lines) and any(x == y and x > 0 for x, y in zip(shapes[i], shapes[j])):
+                near += 1
+        chunks = len([c for c in re.split(r"[;,]", bare) if c and not c.isspace()]) if semi or comma else 1
+        lows.append(" ".join(low))
+        out.append((
+            letters / solid,
+            digit / solid,
+            len(raw.translate(None, _PLAIN_BYTES)) / max(1, len(raw)),
+            common,
+            _BULLET.match(lines[i]) is not None,
+            ends,
+            min(n, 24) / 24,
+            min(1, pipe / n),
+            min(1, tab / n),
+            min(1, gap / n) if gap and not _FIELD.match(bare) else 0,
+            min(1, comma / n),
+            min(1, semi / n),
+            min(1, bare.count('"') / (2 * n)),
+            min(1, 2 * len(_TAG.findall(bare)) / n) if "<" in bare or "&" in bare else 0,
+            min(max(map(len, pieces), default=0), 60) / 60,
+            mixed,
+            0,
+            upper / solid,
+            0 if bare.isascii() else min(1, 2 * len(_MOJIBAKE.findall(bare)) / n),
+            1 - len(set(zip(low, low[1:], low[2:]))) / (len(low) - 2) if len(low) > 4 else 0,
+            repeat,
+            len([p for p in pieces if _NUMBER.match(p)]) / n if digit else 0,
+            near / 2,
+            ".." in bare and _LEADER.search(bare) is not None,
+            max(0.0, 1 - (len(low) / chunks) / 6) if chunks > 2 else 0,
+            min(letters / nw, 16) / 16,
+            bare[:1].islower(),
+            len([p for p in pieces if "_" in p]) / n if "_" in bare else 0,
+            len([p for p in pieces if _HEX.match(p)]) / n if digit else 0,
+            n <= 6 and common <= 0.34 and not ends,
+        ))
+    table = np.array(out, float).reshape(len(lines), _N)
+    # mean letter-pair score of each line, all lines at once; a line end is a gap between words
+    codes = _CODE[np.frombuffer(("\n".join(f" {x} " if x else "" for x in lows) + "\n").encode("ascii", "replace"), np.uint8)]
+    size = np.array([len(x) + 2 if x else 0 for x in lows])
+    score = np.concatenate(([0.0], np.cumsum(letter[codes[:-1], codes[1:]])))
+    first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+    there = size > 1
+    table[there, 16] = (score[first[there] + size[there] - 1] - score[first[there]]) / (size[there] - 1)
+    return table
 
 
 @dataclass
