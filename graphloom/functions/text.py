@@ -253,3 +253,91 @@ def load_metrics(text: Column) -> dict[str, Column]:
         "pointers": F.round(share(lambda x: F.lower(x).isin("it", "its", "this", "that", "these", "those", "they", "them", "he", "she")), 6),
         "grade": F.round(0.39 * (n / s) + 11.8 * (syllables / n) - 15.59, 6),
     }
+
+
+def cut(c: Column | str, width: int) -> Column:
+    """At most ``width`` characters, ending at a word, without trailing small words and marks [FN-12]."""
+    text = squeezed(c)
+    short = F.when(F.length(text) <= width, text).otherwise(F.regexp_replace(F.substring(text, 1, width + 1), r"\s+\S*$", ""))
+    return F.regexp_replace(short, r"(?:\s+(?:a|an|the|of|to|and|or|in|on|for|with|by))*[\s,;:.\-]*$", "")
+
+
+def id_tail(c: Column | str) -> Column:
+    """The last segment of a schema's address without its suffix [FN-25]."""
+    return F.regexp_replace(F.element_at(F.split(_col(c), "/"), -1), r"\.yaml$", "")
+
+
+def test_outcome(phase: Column, outcome: Column, expected_failure: Column, timed_out: Column) -> Column:
+    """Outcome of one event of a test session [FN-28].
+
+    A failure outside the call itself, or a timeout, is an error; an
+    expected failure passes when it fails; what was skipped is skipped.
+    """
+    failed = outcome == "failed"
+    return (
+        F.when(F.coalesce(timed_out, F.lit(False)), "error")
+        .when(outcome == "skipped", F.when(F.coalesce(expected_failure, F.lit(False)), "passed").otherwise("skipped"))
+        .when(failed & (phase != "call"), "error")
+        .when(failed, "failed")
+        .otherwise(F.when(F.coalesce(expected_failure, F.lit(False)), "failed").otherwise("passed"))
+    )
+
+
+def verbatim(c: Column | str, head: str) -> Column:
+    """A text quoted under a head line, each of its lines indented by two spaces [FN-29]."""
+    return F.concat(F.lit(head + "\n"), F.array_join(F.transform(F.split(_col(c), "\n"), lambda x: F.concat(F.lit("  "), x)), "\n"))
+
+
+def unknown_rules(c: Column | str, known: Column) -> Column:
+    """Rules that a text names and the register doesn't have, in order [FN-33]."""
+    return F.array_except(F.regexp_extract_all(_col(c), F.lit(r"\b(rule_[a-z0-9_]+)\b"), F.lit(1)), known)
+
+
+def identifiers_in(c: Column | str, prefixes: list[str]) -> Column:
+    """Readable ids in prose, by type prefixes; names of files and dotted paths aren't ids [FN-23]."""
+    body = "|".join(sorted(prefixes, key=len, reverse=True))
+    return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(rf"(?<![\w./])((?:{body})_[a-z0-9][a-z0-9_]*)(?![\w/]|\.[a-z])"), F.lit(1)))
+
+
+def mentions(c: Column | str, names: list[str]) -> Column:
+    """Which of the names a text mentions as whole words, a longer one before one it contains [PRJ-11]."""
+    import re
+
+    body = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(rf"(?<![\w.])({body})(?![\w]|\.\w)"), F.lit(1)))
+
+
+# Words that make the number before or after them a bound.
+BOUND_BEFORE = "than least most maximum minimum max min up within between exceed exceeding below above under over from to range no".split()
+BOUND_AFTER = "or maximum minimum max min tolerance nominal".split()
+
+
+def quantity_faults(tokens: Column | str, units: list[str]) -> Column:
+    """(token, fault) of quantity tokens: numbers without a unit or counted thing and of point values no bound word precedes [FN-18, WIN-10].
+
+    A number that names something, after capitals or before a hyphen, is no
+    quantity; what follows may be a unit of one or two words, or else a word
+    that is counted. A token shaped like a unit that is none is a fault too.
+    Without tokens the result is null. The tokens should be a column of their own, or they are found anew for
+    each of them.
+    """
+    t = _col(tokens)
+    n = F.size(t)
+    known = F.array(*[F.lit(u.lower()) for u in units]).cast("array<string>")
+    at = lambda i: F.get(t, i)
+    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
+
+    def fault(i: Column) -> Column:
+        token, before, one = at(i), F.coalesce(at(i - 1), F.lit("")), at(i + 1)
+        number = token.rlike(r"^[±+-]?\d+(\.\d+)?$")
+        names = ((F.length(before) >= 2) & (before == F.upper(before)) & before.rlike("[A-Z]")) | F.coalesce(one == "-", F.lit(False))
+        unit = F.array_contains(known, low(one)) | F.array_contains(known, F.concat_ws(" ", low(one), low(at(i + 2))))
+        counted = F.coalesce(one.rlike(r"^[A-Za-z°%]"), F.lit(False))
+        near = F.transform(F.slice(t, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4))), low)
+        after = F.transform(F.slice(t, i + 2, F.lit(3)), low)
+        bounded = F.arrays_overlap(near, F.array(*[F.lit(w) for w in BOUND_BEFORE])) | F.arrays_overlap(after, F.array(*[F.lit(w) for w in BOUND_AFTER])) | token.rlike("^[±+-]")
+        what = F.when(number & ~names & ~unit & ~counted, "no_unit").when(number & ~names & unit & ~F.coalesce(bounded, F.lit(False)), "no_bound").when(unit_shaped(token) & ~F.array_contains(known, F.lower(token)) & ~number, "unknown_unit")
+        return F.struct(token.alias("token"), what.alias("fault"))
+
+    every = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), fault))
+    return F.filter(every, lambda x: x["fault"].isNotNull())

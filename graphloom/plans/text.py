@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.functions.schema import violations
+from graphloom.operators.judging import Eval, cost, rendered, tasks
 from graphloom.operators.measure import rates, screened
+from graphloom.operators.relational import latest
 from graphloom.operators.similarity import similar
+from graphloom.plans.facts import database, over_facts
 from graphloom.plans.registry import CORE
 from graphloom.session import table
 
@@ -183,3 +187,50 @@ def evl05_screened(spark, folder):
     d = table(spark, folder, "documents").where("text is not null").select("doc_id", "source", "text")
     out = screened(d, lambda x: F.length(x) > 300, lambda x, i: x.contains("."), "text", confirm=3)
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("n_asked_again"), F.count_if(F.col("verdict") == "unmet").alias("n_unmet"))
+
+
+@CORE.add(
+    "evl01_tasks",
+    over_facts(
+        """select 'e1' as id_eval, guid, null::varchar as guid_other from item where prefix in ('ddr', 'need')
+        union all (select distinct 'e2', e.guid_source, e.guid_target from edge e join item a on a.guid = e.guid_source join item b on b.guid = e.guid_target where id_relation = 'r_supports' and a.prefix in ('ann', 'ddr', 'req', 'obs') and b.prefix in ('ann', 'ddr', 'req', 'obs'))"""
+    ),
+)
+def evl01_tasks(spark, folder):
+    return tasks(database(spark, folder), [Eval("e1", types=("ddr", "need")), Eval("e2", relation="r_supports", include=("ann", "ddr", "req", "obs"))])
+
+
+@CORE.add(
+    "evl03_cost",
+    """with t as (select guid, id_self, trim(coalesce(brief, '')) as said from (select *, row_number() over (partition by guid order by recorded_at desc nulls last, ord desc) as n from item where guid is not null) where n = 1 and prefix = 'ddr')
+       select 'e1' as id_eval, count(*) as calls, (count(*) * 5)::bigint as calls_most, sum(6 + length(coalesce(id_self, guid)) + length(said))::bigint as characters from t where said <> '' having count(*) > 0""",
+)
+def evl03_cost(spark, folder):
+    """What asking about every decision's brief would cost."""
+    last = latest(table(spark, folder, "item").where("guid is not null"), ["guid"], F.desc_nulls_last("recorded_at"), F.desc("ord"))
+    task = last.where("prefix = 'ddr'").select(F.lit("e1").alias("id_eval"), "guid", F.lit(None).cast("string").alias("guid_other"))
+    return cost(rendered(task, last.select("guid", "id_self", F.col("brief").alias("said"))), 5)
+
+
+@CORE.add("fn18_quantity_faults")
+def fn18_quantity_faults(spark, folder):
+    """Numbers without unit or bound in descriptions; an English unit list stands for the register."""
+    d = table(spark, folder, "item").where("description is not null")
+    d = d.select("ord", "guid", X.quantity_tokens("description").alias("tokens"))
+    return d.select("ord", "guid", F.inline(X.quantity_faults("tokens", ["kg", "m", "s", "minutes", "pages", "rows", "files"])))
+
+
+@CORE.add("fn12_cut", "select ord, guid, title from item where title is null or length(title) <= 200")
+def fn12_cut(spark, folder):
+    """Titles cut at a width none reaches stay what they are."""
+    d = table(spark, folder, "item").where("title is null or length(title) <= 200")
+    return d.select("ord", "guid", F.when(F.length(X.cut("title", 200)) > 0, F.col("title")).alias("title"))
+
+
+_SHAPE = {"type": "object", "required": ["guid_self", "title"], "properties": {"id_self": {"type": "string"}, "guid_self": {"type": "string", "pattern": "^[a-z]{1,8}_[0-9a-f]{32}$"}, "title": {"type": "string", "minLength": 1}, "relation": {"type": "array", "items": {"$ref": "#/$defs/edge"}}}, "$defs": {"edge": {"type": "object", "required": ["id_relation", "guid_target"]}}}
+
+
+@CORE.add("chk09_schema")
+def chk09_schema(spark, folder):
+    """Documents against a schema of what every record has."""
+    return violations(table(spark, folder, "held"), _SHAPE)

@@ -87,3 +87,27 @@ def test_capture_and_digest(spark):
     d = spark.createDataFrame([('{"b":1,"a":2}',), ('{"a": 2, "b": 1}',), ("{",)], "t string")
     a, b, c = (r[0] for r in d.select(X.document_digest("t")).collect())
     assert a == b and len(a) == 8 and c is None
+
+
+def test_quantity_faults(spark):
+    def faults(t):
+        df = spark.createDataFrame([(t,)], "t string").select(X.quantity_tokens("t").alias("q"))
+        return [(r["token"], r["fault"]) for r in df.select(X.quantity_faults("q", ["kg", "square metres"]).alias("v")).first()[0] or []]
+
+    assert faults("weighs 5 kg") == [("5", "no_bound")] and faults("at most 5 kg of 3 parts") == [] and faults("the value 5.") == [("5", "no_unit")]
+    assert faults("IEC 62133 holds") == [] and faults("up to 2 square metres") == [] and faults("a kWh") == [("kWh", "unknown_unit")] and faults("") == []
+
+
+def test_small_forms(spark):
+    assert one(spark, X.cut("t", 12), t="one two of the three") == "one two" and one(spark, X.cut("t", 50), t="as is.") == "as is"
+    assert one(spark, X.id_tail("t"), t="https://x/y/sch_a.yaml") == "sch_a"
+    assert one(spark, X.verbatim("t", "said:"), t="a\nb") == "said:\n  a\n  b"
+    assert one(spark, X.unknown_rules("t", F.array(F.lit("rule_a"))), t="rule_a and rule_b") == ["rule_b"]
+    assert one(spark, X.identifiers_in("t", ["t", "req"]), t="see req_ab, t_x.yaml and src/t_y or t_z.") == ["req_ab", "t_z"]
+    assert one(spark, X.mentions("t", ["t_a", "t_a.b"]), t="t_a.b or t_a, not t_ab") == ["t_a.b", "t_a"]
+
+
+def test_outcomes(spark):
+    df = spark.createDataFrame([("call", "passed", None, None), ("call", "failed", True, None), ("setup", "failed", None, None), ("call", "passed", True, None), ("call", "skipped", None, None), ("call", "passed", None, True), ("call", "failed", False, False)], "p string, o string, x boolean, t boolean")
+    got = [r[0] for r in df.select(X.test_outcome(F.col("p"), F.col("o"), F.col("x"), F.col("t"))).collect()]
+    assert got[0] == "passed" and got[2:] == ["error", "failed", "skipped", "error", "failed"]
