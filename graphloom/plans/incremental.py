@@ -16,8 +16,7 @@ from graphloom.sources import tree as T
 
 def _whole(spark, folder):
     """Whole documents, the last readable row of each location."""
-    rows = table(spark, folder, "held").where("path = '' and document is not null")
-    return rows
+    return T.last_readable(table(spark, folder, "held").where("coalesce(path, '') = ''"))
 
 
 @CORE.add("fact12_leaves")
@@ -48,10 +47,16 @@ def fact03_index(spark, folder):
 
 @CORE.add("fact02_tree_facts")
 def fact02_tree_facts(spark, folder):
-    """Edges of whole documents that give every item a guid."""
-    docs = _whole(spark, folder).withColumn("n", F.size(F.regexp_extract_all("document", F.lit('("id_self")'), F.lit(1)))).where(F.col("n") == F.size(F.regexp_extract_all("document", F.lit('("guid_self")'), F.lit(1))))
-    docs = docs.where(~F.col("document").contains('"id_self":"') | F.col("document").contains('"guid_self"'))
-    return T.leaves(docs).where("step = 'guid_target'").select("location", "path", "value", "guid_holder")
+    """Items, edges and containment of all whole documents that hold, told apart by ``fact``."""
+    f = T.facts(_whole(spark, folder))
+    parts = [df.withColumn("fact", F.lit(name)) for name, df in (("item", f.item), ("edge", f.edge), ("containment", f.containment))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+@CORE.add("fact02_tree_refused")
+def fact02_tree_refused(spark, folder):
+    """Items of those documents that are refused for want of a guid."""
+    return T.facts(_whole(spark, folder)).refused
 
 
 @CORE.add("flt01_path_match", "select location, path from held where regexp_matches(path, '^[^.]+\\.[^.]+(\\..+)?$')")

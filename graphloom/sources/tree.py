@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import subprocess
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.nesting import parse
+from graphloom.session import written
 from graphloom.sources.parse import SUFFIX, Unreadable, body_tokens, definitions_of, documents_of
 
+_DEPTH = 100_000
 _DOCUMENT = "filepath string, anchor string, kind string, nth int, document string, error string"
 
 
@@ -94,6 +97,7 @@ def _texts(values) -> list[str | None]:
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(_DEPTH)
     kinds = {"what": pa.string(), "location": pa.string(), "nth": pa.int64(), "a": pa.string(), "b": pa.string(), "c": pa.string(), "d": pa.string(), "path": pa.string()}
     for batch in batches:
         out: list[tuple] = []
@@ -122,7 +126,8 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             n += 1
                             out.append(("edge", location, n, guid, edge.get("id_relation"), edge["guid_target"], edge.get("id_target"), f"{path}.relation.{i}" if path else f"relation.{i}"))
                 elif isinstance(own, str):
-                    raise ValueError(f"{own} in {location} has no guid")
+                    n += 1
+                    out.append(("refused", location, n, own, "no guid", None, None, path))
                 for k, x in node.items():
                     walk(x, f"{path}.{k}" if path else k, holder)
 
@@ -136,20 +141,49 @@ class TreeFacts:
     item: DataFrame
     edge: DataFrame
     containment: DataFrame
+    refused: DataFrame
+
+
+def last_readable(rows: DataFrame) -> DataFrame:
+    """(location, path, document) of the row that holds of each place, from (location, path, document, received_at) rows.
+
+    That is the readable one with the greatest received_at; null times are
+    least and ties go to the least text hash, as in ``nested``. A null path
+    counts as the whole document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            kept = []
+            for i, place in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if place != last and parse(batch.column(2)[i].as_py())[0]:
+                    last = place
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int32()))
+
+    key = ["location", "path"]
+    flat = rows.select("location", F.coalesce("path", F.lit("")).alias("path"), "document", "received_at").where("document is not null")
+    flat = flat.repartition(*key).sortWithinPartitions(*key, F.desc_nulls_last("received_at"), F.xxhash64("document"))
+    return flat.select(*key, "document").mapInArrow(run, "location string, path string, document string")
 
 
 def facts(documents: DataFrame) -> TreeFacts:
     """item, edge and containment of (location, document) rows, in document order [FACT-01, FACT-02, FACT-05, FACT-09].
 
     Order is by location, then outermost first within a document. An item
-    with a readable id but no guid is refused.
+    with a readable id but no guid is refused: ``refused`` has its location,
+    path, id_self and error, and what it holds counts as held by the nearest
+    enclosing item with a guid. Documents are flattened once, into a table
+    that is written.
     """
-    rows = documents.select("location", "document").mapInArrow(_flatten, "what string, location string, nth bigint, a string, b string, c string, d string, path string")
+    rows = written(documents.select("location", "document").mapInArrow(_flatten, "what string, location string, nth bigint, a string, b string, c string, d string, path string"))
     place = F.struct("location", "nth")
     item = rows.where("what = 'item'").select(F.col("a").alias("guid"), F.col("b").alias("id_self"), F.substring_index(F.coalesce("b", F.lit("")), "_", 1).alias("prefix"), F.col("c").alias("status"), "location", place.alias("ord"))
     edge = rows.where("what = 'edge'").select(place.alias("ord"), F.col("a").alias("guid_source"), F.col("b").alias("id_relation"), F.col("c").alias("guid_target"), F.col("d").alias("id_target"), "path")
     held = rows.where("what = 'containment'").select(F.col("a").alias("guid_holder"), F.col("b").alias("guid_held"))
-    return TreeFacts(item, edge, held)
+    refused = rows.where("what = 'refused'").select("location", "path", F.col("a").alias("id_self"), F.col("b").alias("error"))
+    return TreeFacts(item, edge, held, refused)
 
 
 _LEAF = "location string, path string, step string, kind string, value string, guid_holder string"
@@ -282,4 +316,4 @@ def indexed(items: DataFrame, column: str, *order: str) -> DataFrame:
     return items.where(F.col(column).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-__all__ = ["Tree", "TreeFacts", "bodies", "changed_since", "code", "commits", "declarations", "facts", "files", "indexed", "junit", "leaves", "prose", "read_tree", "references"]
+__all__ = ["Tree", "TreeFacts", "bodies", "changed_since", "code", "commits", "declarations", "facts", "files", "indexed", "junit", "last_readable", "leaves", "prose", "read_tree", "references"]

@@ -71,6 +71,30 @@ def test_tree(spark, tmp_path):
     assert rows(f.containment) == [("g_a", "g_c")]
 
 
+def test_items_without_a_guid_are_refused_alone(spark, tmp_path):
+    from datetime import datetime
+
+    from graphloom.plans.incremental import fact02_tree_facts, fact02_tree_refused
+
+    edge = [{"id_relation": "r", "guid_target": "g_z", "id_target": None}]
+    mixed = {"guid_self": "g_a", "id_self": "t_a", "part": [{"id_self": "t_b", "in": {"guid_self": "g_c", "relation": edge}}]}
+    day = lambda d: datetime(2024, 1, d)
+    data = [
+        ("m", "", json.dumps(mixed), day(2)),
+        ("m", "", json.dumps({"guid_self": "g_old", "id_self": "t_old"}), day(1)),
+        ("m", "", "{", day(3)),
+        ("m", "part.0", json.dumps({"guid_self": "g_part"}), day(4)),
+        ("n", "", json.dumps({"guid_self": "g_n", "relation": edge}), None),
+        ("o", "", None, day(1)),
+    ]
+    spark.createDataFrame(data, "location string, path string, document string, received_at timestamp").write.parquet(str(tmp_path / "held.parquet"))
+    got = fact02_tree_facts(spark, str(tmp_path))
+    assert rows(got.where("fact = 'item'").select("location", "guid")) == [("m", "g_a"), ("m", "g_c"), ("n", "g_n")]
+    assert rows(got.where("fact = 'edge'").select("guid_source", "path")) == [("g_c", "part.0.in.relation.0"), ("g_n", "relation.0")]
+    assert rows(got.where("fact = 'containment'").select("guid_holder", "guid_held")) == [("g_a", "g_c")]
+    assert rows(fact02_tree_refused(spark, str(tmp_path))) == [("m", "part.0", "t_b", "no guid")]
+
+
 def test_leaves_and_references(frame):
     g = "x_" + "a" * 32
     doc = json.dumps({"guid_self": g, "r": {"guid_t": g, "id_t": "n"}, "l": [g], "p": "a\nb", "sql": "a\nb"})
