@@ -85,8 +85,7 @@ def flt05_selector(spark, folder):
 @CORE.add("sim02_bodies")
 def sim02_bodies(spark, folder):
     """Function bodies of the sources at hand, as windows of four tokens."""
-    rows = table(spark, folder, "definition").where("filepath like '%.py' and kind = 'module'")
-    return T.bodies(rows)
+    return T.bodies(table(spark, folder, "definition").where("filepath like '%.py'"))
 
 
 @CORE.add("src11_definitions")

@@ -244,23 +244,38 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for file, own, text in zip(*(c.to_pylist() for c in batch.columns)):
             try:
                 tree = ast.parse(text or "")
             except (SyntaxError, ValueError, RecursionError):
                 continue
-            for node in ast.walk(tree):
-                if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    tokens = body_tokens(node)
-                    pieces = sorted({" ".join(tokens[i : i + 4]) for i in range(len(tokens) - 3)})
-                    out.append((f"{path}::{node.name}", pieces, len(tokens)))
+            todo = [(tree, own.rpartition(".")[0])]
+            while todo:
+                node, above = todo.pop()
+                for child in ast.iter_child_nodes(node):
+                    inner = above
+                    if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                        inner = f"{above}.{child.name}" if above else child.name
+                    if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        tokens = body_tokens(child)
+                        pieces = sorted({" ".join(tokens[i : i + 4]) for i in range(len(tokens) - 3)})
+                        out.append((f"{file}::{inner}", pieces, len(tokens)))
+                    todo.append((child, inner))
         cols = list(zip(*out)) if out else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.int32())], names=["name", "piece", "length"])
 
 
 def bodies(sources: DataFrame) -> DataFrame:
-    """(name, piece, length) of each function in (filepath, node) rows; sources that don't parse are skipped [SIM-02, SIM-03]."""
-    return sources.select("filepath", "node").mapInArrow(_bodies, "name string, piece array<string>, length int")
+    """(name, piece, length) of each function in (filepath, path, node) rows; sources that don't parse are skipped [SIM-02, SIM-03].
+
+    ``name`` is the file and the dotted path, which goes on from the row's
+    ``path`` (empty for a module, as where the column is absent). A body
+    that comes with its module, its class and by itself is given once;
+    different bodies of one path stay.
+    """
+    path = F.coalesce("path", F.lit("")) if "path" in sources.columns else F.lit("")
+    rows = sources.where("node is not null").select("filepath", path.alias("path"), "node").distinct()
+    return rows.mapInArrow(_bodies, "name string, piece array<string>, length int").distinct()
 
 
 def code(rows: DataFrame) -> DataFrame:

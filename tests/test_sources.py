@@ -110,6 +110,22 @@ def test_bodies(frame):
     assert len(got) == 2 and got[0]["piece"] == got[1]["piece"] and "Attribute:x" in " ".join(got[0]["piece"])
 
 
+def test_bodies_of_files_without_a_module_row(spark, tmp_path):
+    from graphloom.plans.incremental import sim02_bodies
+
+    method, other = "def f(self):\n    return self.x + 1\n", "def f(self):\n    return 2\n"
+    whole = "class A:\n    def f(self):\n        return self.x + 1\n    class B:\n        async def g(self):\n            def h():\n                pass\n"
+    data = [
+        ("m.py", "module", "", whole), ("m.py", "class", "A", whole), ("m.py", "function", "A.f", method), ("m.py", "function", "A.f", method),
+        ("c.py", "class", "A", whole), ("f.py", "function", "A.f", method), ("f.py", "function", "A.f", other),
+        ("f.py", "function", "A.bad", "def ("), ("f.py", "function", "A.none", None), ("f.js", "function", "f", method), ("n.py", "module", None, method),
+    ]
+    spark.createDataFrame(data, "filepath string, kind string, path string, node string").write.parquet(str(tmp_path / "definition.parquet"))
+    names = ["A.B.g", "A.B.g.h", "A.f"]
+    got = sorted(r["name"] for r in sim02_bodies(spark, str(tmp_path)).collect())
+    assert got == sorted([f"m.py::{n}" for n in names] + [f"c.py::{n}" for n in names] + ["f.py::A.f", "f.py::A.f", "n.py::f"])
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
     run("init")
