@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pairs import EXPAND, within
+from graphloom.llm.pairs import within
 
 # Letters of other scripts and the Latin letter or sign that looks the same.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜавеѕіјкмнорстухүһԁԛԝӏ"
@@ -92,11 +92,11 @@ def canonical(rows: DataFrame, text: str = "content", id: str = "obs_id") -> Dat
     return source.join(member, "text").select("id", "text", "class", "canonical")
 
 
-def look_pairs(rows: DataFrame, text: str = "content", id: str = "obs_id", expand: int = EXPAND) -> DataFrame:
+def look_pairs(rows: DataFrame, text: str = "content", id: str = "obs_id", expand: int | None = None) -> DataFrame:
     """(a, b) of rows whose texts look the same though their characters differ.
 
-    Rows with equal characters are no pair. See ``within`` for how classes
-    beyond ``expand`` members are given.
+    Rows with equal characters are no pair. Every pair is given; with
+    ``expand`` the copies in larger classes are a star (see ``within``).
     """
     form = canonical(rows, text, id)
     return within(form.select("class", F.xxhash64("text", F.length("text")).alias("variant"), "id"), True, expand)

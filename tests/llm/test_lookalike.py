@@ -32,6 +32,12 @@ def test_empty_long_and_star(frame):
     assert look_pairs(frame(data, OBS), expand=3).count() == 5
 
 
+def test_a_hot_text_costs_no_pair(frame):
+    texts = ["a b"] * 201 + ["a  b"] * 3 + ["a b "] * 2 + [" a b"]
+    got = rows(look_pairs(frame([(i, t, "", "") for i, t in enumerate(texts)], OBS)))
+    assert got == sorted(((a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if texts[a] != texts[b]), key=repr)
+
+
 def test_table_is_one_to_one():
     a, b, _ = tables()
     assert len(a) == len(b) == len(set(a)) and not set(a) & {chr(i) for i in range(128)}

@@ -74,3 +74,10 @@ def test_star_of_variants(frame):
     variant = {i: v for _, v, i in data}
     assert {x for p in star for x in p} == set(variant) and all(variant[a] != variant[b] for a, b in star) and len(star) == len(set(star)) < 14
     assert within(m.limit(0), True).count() == 0
+
+
+def test_variants_of_a_large_class_are_all_paired(frame):
+    data = [("x", v, 10 * v + i) for v in range(4) for i in range(5)]
+    got = rows(within(frame(data, "class string, variant int, id int"), True, 10))
+    assert {(10 * v, 10 * w) for v in range(4) for w in range(v + 1, 4)} <= set(got)
+    assert len(got) == len(set(got)) == 6 + 16 and {x for p in got for x in p} == {i for *_, i in data}
