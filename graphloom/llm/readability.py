@@ -19,7 +19,8 @@ LEAST_WORDS = 20
 LEVEL = {"plain": 0.0, "working": 0.5, "specialist": 1.0}
 #: Graded examples that are read at most; any beyond are refused, not dropped.
 GRADED_BOUND = 100_000
-ROUNDS, TOLERANCE = 12, 2e-4
+#: Words may move so far in a settled round. More rounds than ROUNDS are an error, never a result; steps are drawn from the last MEMORY rounds.
+ROUNDS, TOLERANCE, MEMORY = 500, 2e-4, 5
 _BINS = 4000
 
 
@@ -93,6 +94,16 @@ def _read(state):
     return run
 
 
+def _next(known: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Where to go on from the last (scores, scores after a round): the combination of them whose rounds move least (Anderson's acceleration)."""
+    moved = [y - x for x, y in known]
+    if len(known) == 1:
+        return known[0][1]
+    steps = np.stack([b - a for a, b in zip(moved, moved[1:])])
+    share = np.linalg.lstsq(steps @ steps.T, steps @ moved[-1], rcond=1e-12)[0]
+    return known[-1][1] - sum(c * (b[1] - a[1]) for c, a, b in zip(share, known, known[1:]))
+
+
 def propagate(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(fixed, guid, n_word, score): the words' final scores averaged over each document.
 
@@ -100,13 +111,16 @@ def propagate(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANC
     of graded documents and null elsewhere. On the document-word graph each
     word is the mean of its documents and each ungraded document the mean
     of its words, rarer words weighing more; rounds go on until no word
-    moves by more than the tolerance. Words reach the driver as at most
-    BUCKETS partial sums, documents never.
+    moves by more than the tolerance, and if any still does after ``rounds``
+    rounds an error is raised. Once no more words are reached, each round
+    starts from a combination of the last ones. Words reach the driver as at
+    most BUCKETS partial sums, documents never.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     n_doc = docs.count()
     word = weight = None
+    last: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
         state = sc.broadcast((word, weight))
         sums = docs.select("words", "fixed").mapInArrow(_push(state), "word int, total double, count double, freq double")
@@ -119,10 +133,19 @@ def propagate(docs: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANC
         weight = np.zeros(BUCKETS)
         weight[at] = np.log1p(n_doc / freq)
         state.destroy()
-        still = word is not None and np.array_equal(np.isnan(word), np.isnan(new)) and not np.nanmax(np.abs(word - new), initial=0.0) > tolerance
-        word = new
-        if still:
+        reached = ~np.isnan(new)
+        if word is None or not np.array_equal(~np.isnan(word), reached):
+            word, last, moves = new, [], float("inf")
+            continue
+        moves = np.max(np.abs(new - word)[reached], initial=0.0)
+        if moves <= tolerance:
+            word = new
             break
+        last = [*last, (word[reached], new[reached])][-MEMORY:]
+        word = np.full(BUCKETS, np.nan)
+        word[reached] = _next(last)
+    else:
+        raise RuntimeError(f"after {rounds} rounds words still move by {moves:.2g}, more than {tolerance:g}" if rounds else "no rounds")
     return docs.select("words", "fixed", "guid", "n_word").mapInArrow(_read(sc.broadcast((word, weight))), "fixed double, guid string, n_word int, score double")
 
 

@@ -1,6 +1,9 @@
 from datetime import datetime
 
-from graphloom.llm.readability import prose, reading_levels
+import numpy as np
+import pytest
+
+from graphloom.llm.readability import TOLERANCE, prose, propagate, reading_levels
 from tests.conftest import rows
 
 ITEM = "guid string, brief string, description string, recorded_at timestamp, words string, level string"
@@ -40,3 +43,24 @@ def test_the_last_row_holds(frame):
 def test_repeats_change_nothing(frame):
     t, g = table(frame), frame(GRADED, "guid string, level string")
     assert rows(reading_levels(t.unionByName(t), g).select("guid", "level")) == rows(reading_levels(t, g).select("guid", "level"))
+
+
+def test_rounds_go_on_until_words_settle(frame):
+    n = 24
+    words = [[2 * i, 2 * i + 1, 2 * i + 2] for i in range(n)]
+    fixed = [0.0, *[None] * (n - 2), 1.0]
+    docs = frame([(w, f, str(i), 3) for i, (w, f) in enumerate(zip(words, fixed))], "words array<int>, fixed double, guid string, n_word int")
+    in_doc = np.zeros((n, 2 * n + 1))
+    for i, w in enumerate(words):
+        in_doc[i, w] = 1
+    mean = in_doc * np.log1p(n / in_doc.sum(0))
+    mean /= mean.sum(1, keepdims=True)
+    back = (in_doc / in_doc.sum(0)).T
+    free = np.array([f is None for f in fixed])
+    settled = np.linalg.solve(np.eye(2 * n + 1) - back[:, free] @ mean[free], back[:, ~free] @ np.array([0.0, 1.0]))
+    got = {int(r["guid"]): r["score"] for r in propagate(docs, tolerance=1e-9).collect()}
+    assert np.allclose([got[i] for i in range(n)], mean @ settled, atol=1e-5)
+    got = {int(r["guid"]): r["score"] for r in propagate(docs).collect()}
+    assert np.abs(np.array([got[i] for i in range(n)]) - mean @ settled).max() < 100 * TOLERANCE
+    with pytest.raises(RuntimeError, match="still move"):
+        propagate(docs, rounds=30, tolerance=1e-12)
