@@ -126,7 +126,7 @@ def quantity_tokens(c: Column | str) -> Column:
 
 def acronyms(c: Column | str) -> Column:
     """Distinct runs of two to six capitals standing alone, sorted [FN-19]."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"\b([A-Z]{2,6})\b"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"(?<![\p{L}\p{M}\p{N}_])([A-Z]{2,6})(?![\p{L}\p{M}\p{N}_])"), F.lit(1))))
 
 
 def unit_shaped(token: Column) -> Column:

@@ -12,7 +12,7 @@ from graphloom.operators.relational import latest
 from graphloom.operators.similarity import similar
 from graphloom.plans.facts import database, over_facts
 from graphloom.plans.registry import CORE
-from graphloom.session import table
+from graphloom.session import table, written
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP)
 
@@ -71,8 +71,8 @@ def fn17_tokens(spark, folder):
 
 @CORE.add("fn19_acronyms", "select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b'))), ',') as acronyms from documents where text is not null and len(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b')) > 0 and regexp_full_match(text, '[[:ascii:]]*')")
 def fn19_acronyms(spark, folder):
-    """Of plain texts, since word ends differ beyond ASCII between the engines."""
-    d = table(spark, folder, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    """Of all texts; the SQL sees only plain ones, since word ends differ beyond ASCII between the engines."""
+    d = table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", X.acronyms("text").alias("a")).where(F.size("a") > 0).select("doc_id", F.array_join("a", ",").alias("acronyms"))
 
 
@@ -108,16 +108,15 @@ _PHRASE = rf"""w as (select guid, regexp_extract_all(regexp_replace(lower(coales
 
 @CORE.add("agg10_phrases", f"with {_PHRASE} select phrase, count(distinct guid) as n_item from p group by 1 having n_item >= 10")
 def agg10_phrases(spark, folder):
-    """Words and pairs in at least ten items' prose [AGG-10, PRJ-06]; plain texts, as word ends differ beyond ASCII."""
-    d = table(spark, folder, "item").where(~F.coalesce("description", F.lit("")).rlike(r"[^\x00-\x7f]"))
-    each = d.select("guid", F.explode(X.phrases(F.coalesce("description", F.lit("")))).alias("phrase"))
+    """Words and pairs in at least ten items' prose [AGG-10, PRJ-06]; the SQL sees only plain texts, as word ends differ beyond ASCII."""
+    each = table(spark, folder, "item").select("guid", F.explode(X.phrases(F.coalesce("description", F.lit("")))).alias("phrase"))
     return each.groupBy("phrase").agg(F.countDistinct("guid").alias("n_item")).where("n_item >= 10")
 
 
 @CORE.add("prj06_phrase_gaps")
 def prj06_phrase_gaps(spark, folder):
     """Frequent phrases that no term's title holds, in singular or within a longer term [FN-22]."""
-    found = agg10_phrases(spark, folder)
+    found = written(agg10_phrases(spark, folder))
     terms = table(spark, folder, "item").where("prefix = 'term' and title is not null").select(F.explode(X.inner_runs(F.lower("title"))).alias("known")).distinct()
     each = found.select("phrase", "n_item", F.explode(X.singulars("phrase")).alias("known"))
     hit = each.join(terms, "known", "left_semi").select("phrase").distinct()

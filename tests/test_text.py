@@ -111,3 +111,20 @@ def test_outcomes(spark):
     df = spark.createDataFrame([("call", "passed", None, None), ("call", "failed", True, None), ("setup", "failed", None, None), ("call", "passed", True, None), ("call", "skipped", None, None), ("call", "passed", None, True), ("call", "failed", False, False)], "p string, o string, x boolean, t boolean")
     got = [r[0] for r in df.select(X.test_outcome(F.col("p"), F.col("o"), F.col("x"), F.col("t"))).collect()]
     assert got[0] == "passed" and got[2:] == ["error", "failed", "skipped", "error", "failed"]
+
+
+def test_rows_beyond_ascii_count(spark, tmp_path):
+    import re
+
+    from graphloom.plans.text import agg10_phrases, fn19_acronyms, prj06_phrase_gaps
+
+    texts = ["the \u201cAPI\u201d \u2013 per SDK", "CAF\u00c9 and \u00c9AB, AB\u0301, XY\u00b7Z", "plain UTC", "caf\u00e9 only", None]
+    word = re.compile(r"(?<![\w\u0301])[A-Z]{2,6}(?![\w\u0301])")
+    want = {i: ",".join(sorted(set(word.findall(t)))) for i, t in enumerate(texts) if t and word.findall(t)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert want[0] == "API,SDK" and want[1] == "XY" and {r["doc_id"]: r["acronyms"] for r in fn19_acronyms(spark, str(tmp_path)).collect()} == want
+
+    items = [(f"g{i}", "ann", None, "ledger budget" + ("\u2019s \u2014" if i < 4 else "")) for i in range(10)] + [("t", "term", "Ledger", None)]
+    spark.createDataFrame(items, "guid string, prefix string, title string, description string").write.parquet(str(tmp_path / "item.parquet"))
+    assert sorted(map(tuple, agg10_phrases(spark, str(tmp_path)).collect())) == [("budget", 10), ("ledger", 10), ("ledger budget", 10)]
+    assert [tuple(r) for r in prj06_phrase_gaps(spark, str(tmp_path)).collect()] == [("budget", 10), ("ledger budget", 10)]
