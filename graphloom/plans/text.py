@@ -221,9 +221,14 @@ def fn18_quantity_faults(spark, folder):
 
 @CORE.add("fn12_cut", "select ord, guid, title from item where title is null or length(title) <= 200")
 def fn12_cut(spark, folder):
-    """Titles cut at a width none reaches stay what they are."""
-    d = table(spark, folder, "item").where("title is null or length(title) <= 200")
-    return d.select("ord", "guid", F.when(F.length(X.cut("title", 200)) > 0, F.col("title")).alias("title"))
+    """Titles cut at 200 characters; the SQL sees only those that are shorter."""
+    return table(spark, folder, "item").select("ord", "guid", X.cut("title", 200).alias("title"))
+
+
+@CORE.add("fn12_cut_short")
+def fn12_cut_short(spark, folder):
+    """Titles cut at 20 characters, which most exceed."""
+    return table(spark, folder, "item").select("ord", "guid", X.cut("title", 20).alias("title"))
 
 
 _SHAPE = {"type": "object", "required": ["guid_self", "title"], "properties": {"id_self": {"type": "string"}, "guid_self": {"type": "string", "pattern": "^[a-z]{1,8}_[0-9a-f]{32}$"}, "title": {"type": "string", "minLength": 1}, "relation": {"type": "array", "items": {"$ref": "#/$defs/edge"}}}, "$defs": {"edge": {"type": "object", "required": ["id_relation", "guid_target"]}}}

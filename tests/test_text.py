@@ -128,3 +128,23 @@ def test_rows_beyond_ascii_count(spark, tmp_path):
     spark.createDataFrame(items, "guid string, prefix string, title string, description string").write.parquet(str(tmp_path / "item.parquet"))
     assert sorted(map(tuple, agg10_phrases(spark, str(tmp_path)).collect())) == [("budget", 10), ("ledger", 10), ("ledger budget", 10)]
     assert [tuple(r) for r in prj06_phrase_gaps(spark, str(tmp_path)).collect()] == [("budget", 10), ("ledger budget", 10)]
+
+
+def test_titles_are_cut(spark, tmp_path):
+    import re
+
+    from graphloom.plans.text import fn12_cut, fn12_cut_short
+
+    def brute(title, width):
+        w = title.split()
+        while len(" ".join(w)) > width and len(w) > 1:
+            w.pop()
+        while len(w) > 1 and w[-1] in ("a", "an", "the", "of", "to", "and", "or", "in", "on", "for", "with", "by"):
+            w.pop()
+        return re.sub(r"[\s,;:.-]*$", "", " ".join(w))
+
+    titles = ["short", "the ledger of the budget and archive", "one two three four five", "word " * 50, "exactly twenty chars and", None]
+    rows = [(i, "g", t) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "ord bigint, guid string, title string").write.parquet(str(tmp_path / "item.parquet"))
+    for query, width in ((fn12_cut, 200), (fn12_cut_short, 20)):
+        assert {r["ord"]: r["title"] for r in query(spark, str(tmp_path)).collect()} == {i: t and brute(t, width) for i, t in enumerate(titles)}
