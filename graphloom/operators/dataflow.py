@@ -110,7 +110,7 @@ class Run:
 
 
 def run(flow: Flow, bindings: dict[tuple[str, str], DataFrame], budget: int = 1, pause_before: str | None = None, resumed: Run | None = None) -> Run:
-    """Run a flow [WFL-01..WFL-09].
+    """Run a flow [WFL-01..WFL-06, WFL-08, WFL-09]; judges are taken whatever their measured confidence.
 
     Bindings must name open inputs and give every required one. A node
     whose required input nothing delivered is skipped. A link that doesn't
