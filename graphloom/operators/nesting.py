@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from graphloom.session import written
 
 OBJECT = "hash binary, id_self string, guid_self string, is_item boolean, field string, n_child int"
-BRIDGE = "ordinal int, parent int, position int, path string, guid_holder string, hash binary"
+BRIDGE = "ordinal int, parent int, position int, path string, guid_holder string, hash binary, is_item boolean"
 _DEPTH = 100_000
 
 
@@ -53,9 +53,9 @@ def shred(value, base: str, holder: str | None) -> tuple[list[tuple], dict[str,
         """The canonical text of ``node``."""
         if isinstance(node, dict):
             at = len(rows)
-            row = [at, parent, position, path, holder, None]
-            rows.append(row)
             guid, own = node.get("guid_self"), node.get("id_self")
+            row = [at, parent, position, path, holder, None, isinstance(own, str) or isinstance(guid, str)]
+            rows.append(row)
             inner = guid if isinstance(guid, str) else holder
             parts, flat = [], []
             for k, v in node.items():
@@ -69,7 +69,7 @@ def shred(value, base: str, holder: str | None) -> tuple[list[tuple], dict[str,
             row[5] = key
             if key not in objects:
                 id_text, guid_text = own if isinstance(own, str) else None, guid if isinstance(guid, str) else None
-                objects[key] = (key, id_text, guid_text, id_text is not None or guid_text is not None, "{" + ",".join(flat) + "}", len(parts))
+                objects[key] = (key, id_text, guid_text, row[6], "{" + ",".join(flat) + "}", len(parts))
             return "#" + key.hex()
         if isinstance(node, list):
             return "[" + ",".join([walk(v, f"{path}.{i}" if path else str(i), parent, i, holder) for i, v in enumerate(node)]) + "]"
@@ -87,7 +87,7 @@ def _clean(text: str | None) -> str | None:
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shred the first readable document of each run of equal (location, path)."""
     sys.setrecursionlimit(_DEPTH)
-    bridge = pa.list_(pa.struct([("ordinal", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("path", pa.string()), ("guid_holder", pa.string()), ("hash", pa.binary())]))
+    bridge = pa.list_(pa.struct([("ordinal", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("path", pa.string()), ("guid_holder", pa.string()), ("hash", pa.binary()), ("is_item", pa.bool_())]))
     found = pa.list_(pa.struct([("hash", pa.binary()), ("id_self", pa.string()), ("guid_self", pa.string()), ("is_item", pa.bool_()), ("field", pa.string()), ("n_child", pa.int32())]))
     names_b, names_o = [f.name for f in bridge.value_type], [f.name for f in found.value_type]
     last = None
@@ -135,9 +135,8 @@ class Nested:
         return rows.groupBy("hash").agg(*[F.any_value(c).alias(c) for c in rows.columns if c != "hash"])
 
     def items(self) -> DataFrame:
-        """Occurrences of items: those whose hash is among the items stored."""
-        known = self._rows.select(F.inline("object")).where("is_item").select("hash").distinct()
-        return self.bridge.join(known, "hash", "left_semi")
+        """Occurrences of items, which the bridge tells apart as it is made: no shuffle, whatever the copies of one object."""
+        return self.bridge.where("is_item").drop("is_item")
 
 
 def nested(rows: DataFrame) -> Nested:
