@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.pairs import EXPAND, across, within
-from graphloom.session import written
+from graphloom.session import forget, written
 
 #: Shared pieces as a fraction of the pieces that either holds.
 THRESHOLD = 0.8
-#: Chunks in which two signatures must agree but for one bit; so many more than pigeonhole needs are made.
-MATCHES = 3
+#: Chunks that either side leaves out of the index: its lightest, which say least. Twice so many are made beyond what pigeonhole needs.
+LIGHT = 1
 #: Fewer tokens than this are too few to tell.
 LEAST = 24
 
@@ -41,32 +41,42 @@ def band_of(size: int, threshold: float) -> int:
 
 
 def chunks_of(band: int, threshold: float) -> int:
-    """Chunks for the sets of a band and the next: half the greatest signature distance, and MATCHES more.
+    """Chunks for a window, the sets of a band and of the next: half the greatest signature distance, one, and twice LIGHT.
 
-    Sets of at most r pieces each with similarity t differ in at most
-    2 r (1 - t) / (1 + t) pieces, and so do their signatures in bits. Two
-    bits or more can differ in half as many chunks at most, so at least
-    MATCHES chunks agree but for one bit.
+    The smaller of two alike sets lies in the band, so it holds r pieces at
+    most and the other r / t; they differ in at most r (1 - t) / t pieces,
+    and so do their signatures in bits. Two bits or more can differ in half
+    as many chunks at most, so at least 1 + 2 LIGHT chunks agree but for one
+    bit, of which each side leaves out LIGHT: one at least is left.
     """
-    most = math.ceil(threshold ** -(band + 2))
-    return math.floor(2 * most * (1 - threshold) / (1 + threshold) + 1e-9) // 2 + MATCHES
+    most = math.floor(threshold ** -(band + 1) + 1e-9)
+    return math.floor(most * (1 - threshold) / threshold + 1e-9) // 2 + 1 + 2 * LIGHT
 
 
-def signature(pieces: np.ndarray, chunks: int) -> np.ndarray:
-    """A signature of ``chunks`` words of 64 bits: each piece flips one bit."""
-    h = _mixed(pieces + np.uint64(7919 * chunks))
-    out = np.zeros(chunks, np.uint64)
-    np.bitwise_xor.at(out, (h % np.uint64(chunks)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(40)) & np.uint64(63)))
-    return out
+def signatures(flat: np.ndarray, owner: np.ndarray, n: int, chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, kept, chunk, bit) of the signatures of ``n`` sets; ``flat`` are their pieces and ``owner`` the set of each.
+
+    Each piece sets one bit of one chunk. Chunks are so wide that no two
+    pieces of a set meet in a bit, and a chunk's value stands for its bits:
+    the exclusive or of a 64-bit word for each, so a bit is cleared by its
+    word. ``kept`` is false for the LIGHT chunks with the fewest bits.
+    """
+    h = _mixed(flat + np.uint64(7919 * chunks))
+    chunk, bit = owner * chunks + (h % np.uint64(chunks)).astype(np.int64), _mixed(h)
+    value = np.zeros(n * chunks, np.uint64)
+    np.bitwise_xor.at(value, chunk, bit)
+    filled = np.bincount(chunk, minlength=n * chunks).reshape(n, chunks)
+    kept = np.ones((n, chunks), bool)
+    np.put_along_axis(kept, np.argsort(filled, axis=1, kind="stable")[:, :LIGHT], False, 1)
+    return value, kept.ravel(), chunk, bit
 
 
 def _keys(threshold: float, index: bool):
-    """Chunk values of both bands a set belongs to; the probing side also with each set bit cleared.
+    """(key, class, whole): chunk values of both windows a set belongs to; the probing side also with each bit cleared.
 
-    Some chunks of two signatures within the distance differ in one bit at
-    most, by pigeonhole: chunks that are equal meet as they are, else the
-    one with the extra bit meets the other with that bit cleared. Either
-    way a chunk meets once in a band.
+    Of the chunks that agree but for one bit, those that are equal meet as
+    they are; else the one with the extra bit meets the other with that bit
+    cleared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,30 +84,25 @@ def _keys(threshold: float, index: bool):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            start = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            keys, owner, full, bands = [], [], [], []
-            for i in range(len(ids)):
-                pieces = flat[start[i] : start[i + 1]]
-                band = band_of(len(pieces), threshold)
-                for b in (band - 1, band):
-                    m = chunks_of(b, threshold)
-                    value = signature(pieces, m)
-                    place = np.arange(m, dtype=np.uint64)
-                    if index:
-                        whole, at = value, place
-                    else:
-                        bits = np.flatnonzero(np.unpackbits(value.view(np.uint8), bitorder="little"))
-                        chunk = bits >> 6
-                        less = value[chunk] ^ (np.uint64(1) << (bits & 63).astype(np.uint64))
-                        whole, at = np.concatenate((value, less)), np.concatenate((place, chunk.astype(np.uint64)))
-                    keys.append(_mixed(_mixed(whole) + _mixed(at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1000))))
-                    owner.append(np.full(len(whole), ids[i], np.int64))
-                    flag = np.zeros(len(whole), bool)
-                    flag[:m] = True
-                    full.append(flag)
-                    bands.append(np.full(len(whole), b, np.int16))
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            band = np.array([band_of(int(k), threshold) for k in size], np.int64)
+            keys, owner, full = [], [], []
+            for b in np.unique(np.concatenate((band, band - 1))):
+                here = (band == b) | (band == b + 1)
+                n, m = int(here.sum()), chunks_of(int(b), threshold)
+                value, kept, chunk, bit = signatures(flat[np.repeat(here, size)], np.repeat(np.arange(n), size[here]), n, m)
+                key = lambda x, at: _mixed(_mixed(x) + _mixed((at % m).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1000)))  # noqa: B023, E731
+                whole = np.flatnonzero(kept)
+                parts = [(key(value[whole], whole), whole, True)]
+                if not index:
+                    of = np.flatnonzero(kept[chunk])
+                    parts.append((key(value[chunk[of]] ^ bit[of], chunk[of]), chunk[of], False))
+                for k, at, flag in parts:
+                    keys.append(k)
+                    owner.append(ids[here][at // m])
+                    full.append(np.full(len(k), flag))
             join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.uint64).view(np.int64)), pa.array(join(owner, np.int64)), pa.array(join(full, bool)), pa.array(join(bands, np.int16))], names=["key", "class", "whole", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(keys, np.uint64).view(np.int64)), pa.array(join(owner, np.int64), pa.int64()), pa.array(join(full, bool))], names=["key", "class", "whole"])
 
     return run
 
@@ -124,6 +129,12 @@ class Alike:
         copies = within(self.member.select("class", F.lit(0).alias("variant"), "id"), False, expand)
         return copies.unionByName(across(self.link.select("c1", "c2"), self.member, expand))
 
+    def classes(self) -> DataFrame:
+        """(id, class, n_copy, n_link) of every record that counts: its class, the class's size, and how many other classes are alike."""
+        ends = self.link.select(F.explode(F.array("c1", "c2")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_link"))
+        size = self.member.groupBy("class").agg(F.count(F.lit(1)).alias("n_copy"))
+        return self.member.join(size.join(ends, "class", "left"), "class").select("id", "class", "n_copy", F.coalesce("n_link", F.lit(0)).alias("n_link"))
+
 
 def alike(rows: DataFrame, id: str = "body_id", piece: str = "piece", length: str = "length", threshold: float = THRESHOLD, least: int = LEAST) -> Alike:
     """Records whose sets of distinct pieces share at least ``threshold`` of what either holds.
@@ -132,10 +143,10 @@ def alike(rows: DataFrame, id: str = "body_id", piece: str = "piece", length: st
     a null length is long enough. Null pieces are ignored. Equal sets form
     one class, named by its least id; classes are joined by a multi-index
     Hamming join over signatures, which finds every pair within the
-    signature distance that the threshold allows, and each candidate that
-    agrees in MATCHES chunks is compared exactly. Empty tables give empty results.
+    signature distance that the threshold allows, and each candidate is
+    compared exactly. Empty tables give empty results.
     """
-    sets = (
+    sets = written(
         rows.where(F.col(length).isNull() | (F.col(length) >= least))
         .select(F.col(id).alias("id"), piece_numbers(piece).alias("set"))
         .where(F.size("set") > 0)
@@ -143,13 +154,13 @@ def alike(rows: DataFrame, id: str = "body_id", piece: str = "piece", length: st
     )
     first = sets.groupBy("h1", "h2").agg(F.min("id").alias("class"))
     member = written(sets.select("h1", "h2", "id").join(first, ["h1", "h2"]).select("class", "id"))
-    heads = written(sets.join(member.where("class = id").select("id"), "id").select(F.col("id").alias("class"), "set"))
-    kinds = "key bigint, class bigint, whole boolean, band smallint"
+    heads = written(sets.select("id", "set").join(member.where("class = id").select("id"), "id").select(F.col("id").alias("class"), "set"))
+    forget(sets)
+    kinds = "key bigint, class bigint, whole boolean"
     index = heads.mapInArrow(_keys(threshold, True), kinds).select("key", F.col("class").alias("c1"))
-    probe = heads.mapInArrow(_keys(threshold, False), kinds).select("key", F.col("class").alias("c2"), "whole", "band")
+    probe = heads.mapInArrow(_keys(threshold, False), kinds).select("key", F.col("class").alias("c2"), "whole")
     met = index.join(probe, "key").where("c1 < c2 or (c1 > c2 and not whole)")
-    agree = met.groupBy(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"), "band").agg(F.count(F.lit(1)).alias("n"))
-    candidate = agree.where(F.col("n") >= MATCHES).select("c1", "c2").distinct()
+    candidate = met.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
     one, two = heads.select(F.col("class").alias("c1"), F.col("set").alias("s1")), heads.select(F.col("class").alias("c2"), F.col("set").alias("s2"))
     counted = candidate.join(one, "c1").join(two, "c2").select("c1", "c2", F.size(F.array_intersect("s1", "s2")).alias("common"), F.size("s1").alias("n1"), F.size("s2").alias("n2"))
     either = F.col("n1") + F.col("n2") - F.col("common")

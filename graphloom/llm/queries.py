@@ -55,6 +55,19 @@ def p4_found(spark, folder):
     return alike(table(spark, folder, "body")).pairs().select(F.col("a").alias("body_id_1"), F.col("b").alias("body_id_2"))
 
 
+_CLASSES_SQL = """with b as (select body_id, list_sort(list_distinct(list_filter(piece, lambda x: x is not null))) as s from body where (length is null or length >= 24) and piece is not null),
+  c as (select s, min(body_id) as class, count(*) as n_copy from b where len(s) > 0 group by 1),
+  e as (select class, len(s) as n, unnest(s) as x from c),
+  k as (select p.class as a, q.class as b from e p join e q on p.x = q.x and p.class < q.class group by 1, 2 having count(*) >= 0.8 * (any_value(p.n) + any_value(q.n) - count(*)) - 1e-9)
+  select body_id, class as body_id_class, n_copy, (select count(*) from k where a = class or b = class) as n_link from b join c using (s)"""
+
+
+@LLM.add("p4_classes", _CLASSES_SQL)
+def p4_classes(spark, folder):
+    """Every body that counts with its class of equal sets, its copies and the number of classes that are alike."""
+    return alike(table(spark, folder, "body")).classes().select(F.col("id").alias("body_id"), F.col("class").alias("body_id_class"), "n_copy", "n_link")
+
+
 @LLM.add("p6_found")
 def p6_found(spark, folder):
     return look_pairs(table(spark, folder, "observation")).select(F.col("a").alias("obs_id_1"), F.col("b").alias("obs_id_2"))

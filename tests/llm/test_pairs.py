@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm.neardup import alike, band_of, chunks_of, signature
+from graphloom.llm.neardup import alike, band_of, chunks_of, signatures
 from graphloom.llm.pairs import within
 from tests.conftest import rows
 
@@ -49,14 +49,40 @@ def test_many_copies_become_a_star(frame):
     assert got == [(0, i) for i in range(1, 30)]
 
 
-def test_signature_distance_is_bounded():
+def meets(x, y):
+    """Whether a kept chunk of the smaller set equals one of the other, as it is or with one bit cleared on either side."""
+    m = chunks_of(band_of(min(len(x), len(y)), 0.8), 0.8)
+    v, w = [], []
+    for pieces, out in ((x, v), (y, w)):
+        value, kept, chunk, bit = signatures(pieces, np.zeros(len(pieces), np.int64), 1, m)
+        out.append({(i, int(value[i])) for i in range(m) if kept[i]})
+        out.append({(int(c), int(value[c] ^ b)) for c, b in zip(chunk, bit) if kept[c]})
+    return bool(v[0] & (w[0] | w[1]) or w[0] & v[1])
+
+
+def test_every_pair_at_the_threshold_meets():
     rng = np.random.default_rng(0)
-    for n in (5, 40, 200):
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate((a[n // 10 :], rng.integers(0, 2**63, n // 10).astype(np.uint64)))
-        m = chunks_of(band_of(n, 0.8), 0.8)
-        d = sum(bin(int(x)).count("1") for x in signature(a, m) ^ signature(b, m))
-        assert d <= len(set(a.tolist()) ^ set(b.tolist()))
+    for n in (1, 4, 5, 9, 10, 23, 40, 77, 200):
+        for lost in {0, n // 9, n // 5, n // 10, n // 20}:
+            for more in (0, n // 9, n // 4, n // 8):
+                shared = n - lost
+                if shared < 0.8 * (shared + lost + more):
+                    continue
+                for _ in range(10):
+                    x = rng.integers(0, 2**63, n).astype(np.uint64)
+                    assert meets(x, np.concatenate((x[lost:], rng.integers(0, 2**63, more).astype(np.uint64))))
+
+
+def test_unrelated_sets_hardly_meet():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 2**63, 60).astype(np.uint64) for _ in range(300)]
+    assert sum(meets(x, y) for x, y in itertools.combinations(sets, 2)) <= 10  # of 44,850
+
+
+def test_classes_count_links(frame):
+    base = [f"p{i}" for i in range(20)]
+    data = [(1, base, None, 0, ""), (2, base[::-1], None, 0, ""), (3, [*base[:19], "x"], 24, 0, ""), (4, ["z"], None, 0, ""), (5, base, 3, 0, "")]
+    assert rows(alike(frame(data, BODY)).classes()) == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)]
 
 
 def test_bands_of_alike_sizes_touch():
