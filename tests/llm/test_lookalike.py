@@ -38,6 +38,15 @@ def test_a_hot_text_costs_no_pair(frame):
     assert got == sorted(((a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if texts[a] != texts[b]), key=repr)
 
 
+def test_letters_of_other_scripts(frame):
+    pairs = [("Ꮪсale Ⅿ", "Scale M"), ("hօpe ոօw", "hope now"), ("ⅽᴏꜱt", "cost"), ("plain", "plaın")]
+    got = rows(look_pairs(frame([(2 * i + k, t, "", "") for i, p in enumerate(pairs) for k, t in enumerate(p)], OBS)))
+    assert got == [(0, 1), (2, 3), (4, 5), (6, 7)]
+
+
 def test_table_is_one_to_one():
+    from graphloom.llm import lookalike as L
+
+    assert all(len(getattr(L, k)) == len(getattr(L, f"{k}_LATIN")) for k in ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "ROMAN", "SMALL_CAPITAL"))
     a, b, _ = tables()
     assert len(a) == len(b) == len(set(a)) and not set(a) & {chr(i) for i in range(128)}
