@@ -12,9 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import written
+
 #: Distinct words that documentation must add to the words of the function's name.
 LEAST_WORDS = 5
-_ROW = "filepath string, path string, signature string, origin string, documentation string, code string"
+_ROW = "name string, filepath string, path string, signature string, role string, documentation string, n_new int, code string, received_at timestamp"
+#: Folders that hold sources, or stubs that declare them, and are no part of a module's name.
+ROOTS = ("src", "stubs", "typings")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -23,9 +27,20 @@ def words(text: str) -> set[str]:
     return {w.casefold() for w in _WORD.findall(text)}
 
 
-def says_something(name: str, documentation: str | None, least: int = LEAST_WORDS) -> bool:
-    """Whether the documentation has enough distinct words beside those of the name."""
-    return documentation is not None and len(words(documentation) - words(name)) >= least
+def new_words(name: str, documentation: str | None) -> int:
+    """Distinct words that the documentation adds to those of the name."""
+    return len(words(documentation) - words(name)) if documentation else 0
+
+
+def module_name(filepath: str) -> str:
+    """The dotted module name of a source or stub file, the same for both."""
+    steps = filepath.rpartition(".")[0].split("/")
+    if len(steps) > 1 and steps[0] in ROOTS:
+        steps = steps[1:]
+    steps[0] = steps[0].removesuffix("-stubs")
+    if len(steps) > 1 and steps[-1] == "__init__":
+        steps = steps[:-1]
+    return ".".join(steps)
 
 
 def data_values(text: str, keys: tuple[str, ...] = ("brief", "description")) -> dict[str, str]:
@@ -119,53 +134,53 @@ def definitions(source: str, path: str = "") -> list[tuple[str, str, str | None,
 
 def _symbols(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sys.setrecursionlimit(20_000)
-    names = ["filepath", "path", "signature", "origin", "documentation", "code"]
+    names = [x.split()[0] for x in _ROW.split(", ")]
     for part in parts:
         out = []
-        for filepath, kind, path, node, text in part.itertuples(index=False, name=None):
+        for filepath, kind, path, node, text, received in part.itertuples(index=False, name=None):
             declared = described(text) if text is not None and kind == "function" else None
+            module, stub = module_name(filepath), filepath.endswith(".pyi")
             for name, signature, own, code, outermost in definitions(node, path or ""):
+                role, said = "declaration" if stub else "definition", own
                 if declared is not None and outermost and name == path:
-                    out.append((filepath, name, signature, "declaration", declared, code))
-                else:
-                    out.append((filepath, name, signature, "definition", own, code))
-        yield pd.DataFrame(out, columns=names).astype(object)
+                    role, said = "declaration" if stub else "both", declared
+                out.append((f"{module}.{name}", filepath, name, signature, role, said, new_words(name.rpartition(".")[2], said), code, received))
+        yield pd.DataFrame(out, columns=names).astype({k: object for k in names if k not in ("n_new", "received_at")} | {"n_new": "int32", "received_at": "datetime64[us]"})
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """The symbol table: every function of every Python source, with the documentation found beside it.
+    """The symbol table over all files: every function of every Python source or stub, with the documentation found beside it.
 
-    ``origin`` is ``declaration`` where a function row's data item stands
-    apart in ``text``, else ``definition``.
+    ``name`` is qualified by the module, so a stub and its source share it.
+    ``role`` is ``declaration`` in a stub, ``both`` where a function row
+    brings its own data item in ``text``, else ``definition``; ``n_new``
+    counts the words that the documentation adds to the function's name.
     """
-    python = rows.where("node is not null and filepath like '%.py'").select("filepath", "kind", "path", "node", "text").distinct()
-    return python.mapInPandas(_symbols, _ROW)
+    python = rows.where("node is not null and (filepath like '%.py' or filepath like '%.pyi')")
+    once = python.groupBy("filepath", "kind", "path", "node", "text").agg(F.max("received_at").alias("received_at"))
+    return once.mapInPandas(_symbols, _ROW)
 
 
 def code_pairs(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(filepath, path, signature, documentation, code), one row for each documented function.
-
-    Declarations and definitions of the same file, path and normalised
-    signature are joined, a declaration's documentation going before a
-    docstring; of several overloads or versions under one path, the ones
-    whose documentation says nothing are dropped and the least signature,
-    documentation and code among the rest stand for the path. Null sources,
-    other languages and sources that don't parse give nothing.
+    """(filepath, path, signature, documentation, code, declared_in), one row for each documented function.
+
+    Functions of one file, path and normalised signature are one; of its
+    deliveries the last whose documentation says something stands, a data
+    item of its own going before a docstring, and documentation and code
+    are of that one delivery. A definition without documentation is joined
+    with the documented declarations of all files on qualified name and
+    signature, so an overload only takes what is said of its own parameters;
+    ``declared_in`` is the file of such a declaration, else null. What then
+    says nothing is dropped. Null sources, other languages and sources that
+    don't parse give nothing; null times are least, ties go to the greatest
+    documentation and code.
     """
-    table = symbols(rows)
-    name = ["filepath", "path", "signature"]
-    merged = table.groupBy(*name).agg(
-        F.collect_set(F.when(F.col("origin") == "declaration", F.col("documentation"))).alias("declared"),
-        F.collect_set(F.when(F.col("origin") == "definition", F.col("documentation"))).alias("own"),
-        F.min("code").alias("code"),
-    )
-    own_words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0)))
-    enough = lambda d: F.size(F.array_except(own_words(d), own_words(F.substring_index("path", ".", -1)))) >= least
-    said = F.concat(F.sort_array(F.filter("declared", enough)), F.sort_array(F.filter("own", enough)))
-    kept = merged.select(*name, said.alias("said"), "code").where(F.size("said") > 0)
-    return (
-        kept.select(*name, F.col("said")[0].alias("documentation"), "code")
-        .groupBy("filepath", "path")
-        .agg(F.min(F.struct("signature", "documentation", "code")).alias("x"))
-        .select("filepath", "path", "x.signature", "x.documentation", "x.code")
-    )
+    table = written(symbols(rows))
+    enough = F.col("n_new") >= least
+    code = table.where("role <> 'declaration'").groupBy("name", "filepath", "path", "signature")
+    code = code.agg(F.max(F.struct(enough.alias("says"), (F.col("role") == "both").alias("own"), "received_at", "documentation", "code")).alias("x"))
+    said = table.where(F.col("role") != "definition").where(enough).groupBy("name", "signature")
+    said = said.agg(F.max(F.struct("received_at", "documentation", "filepath")).alias("y"))
+    both = code.join(said, ["name", "signature"], "left").where(F.col("x.says") | F.col("y").isNotNull())
+    pick = lambda own, other: F.when(F.col("x.says"), own).otherwise(other)
+    return both.select("filepath", "path", "signature", pick(F.col("x.documentation"), F.col("y.documentation")).alias("documentation"), F.col("x.code").alias("code"), pick(F.lit(None), F.col("y.filepath")).alias("declared_in"))

@@ -37,7 +37,9 @@ from p"""
 
 @LLM.add("p1_found")
 def p1_found(spark, folder):
-    return code_pairs(table(spark, folder, "definition")).select("filepath", "path")
+    """Those documented in their own file; one of several overloads suffices."""
+    found = code_pairs(table(spark, folder, "definition"))
+    return found.where("declared_in is null or declared_in = filepath").select("filepath", "path").distinct()
 
 
 @LLM.add("p1_pairs")
