@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.words import word_numbers
+from graphloom.session import written
 
 #: Spaced seeds over a window of 12 words: 1 is hashed, 0 ignored. Any one substitution misses some seed.
 MASKS = ("111111110000", "111100001111", "000011111111")
 SPAN = 12
-#: Up to so many seed hashes of the evaluation side are sent to every task (24 bytes each); more are joined by shuffle.
+#: Up to so many seed hashes of the evaluation side are sent to every task (24 bytes each); of more, a bit filter is sent.
 BROADCAST_SEEDS = 2_000_000
+#: Bits of that filter at most (128 MB), and bits for each seed; what has more seeds than fit is passed in shards.
+FILTER_BITS, BITS_EACH = 1 << 30, 16
 _FACTOR = (np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FOUND = "doc_id bigint, case_id bigint, longest int, covered int"
 
@@ -143,6 +146,52 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(join(ids, np.int64)), pa.array(join(seed, np.int64)), pa.array(join(place, np.int32))], names=["id", "seed", "place"])
 
 
+def _filtered(state):
+    """(doc_id, words, seeds) of the documents with a seed that the filter lets through, with those seeds and their places."""
+    kind = pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, shard, shards = state.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, start = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            seed, at = [], []
+            for h in seed_hashes(flat):
+                here = np.flatnonzero(_let_through(bits, h) & ((h >> np.uint64(32)) & np.uint64(shards - 1) == np.uint64(shard)))
+                seed.append(h[here])
+                at.append(here)
+            seed, at = np.concatenate(seed), np.concatenate(at)
+            doc = np.searchsorted(start, at, side="right") - 1
+            inside = at + SPAN <= start[doc + 1]  # a window that runs into the next text is none
+            seed, at, doc = seed[inside], at[inside], doc[inside]
+            order = np.argsort(doc, kind="stable")
+            seed, at, doc = seed[order], at[order], doc[order]
+            kept, n = np.unique(doc, return_counts=True)
+            pairs = pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array((at - start[doc]).astype(np.int32))], fields=list(kind.value_type))
+            seeds = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pairs, type=kind)
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), lists.take(take), seeds], names=["doc_id", "words", "seeds"])
+
+    return run
+
+
+def _let_through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _filter(seeds: DataFrame, n: int) -> np.ndarray:
+    """A bit for each seed, by its lowest bits; put together in tasks, so at most FILTER_BITS / 64 words reach the driver."""
+    size = 64
+    while size < min(FILTER_BITS, n * BITS_EACH):
+        size *= 2
+    at = F.col("seed").bitwiseAND(F.lit(size - 1))
+    words = seeds.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -163,8 +212,9 @@ def leaks(documents: DataFrame, cases: DataFrame, broadcast_seeds: int = BROADCA
     texts are compared word by word. ``longest`` is the longest run of equal
     words, ``covered`` the number of equal words in windows with at most one
     substitution. The evaluation side goes to every task while its
-    seeds are few, else both sides' seeds are joined by shuffle; the result
-    is the same. Null, blank or shorter texts share nothing.
+    seeds are few. Else a bit filter of them does, shard by shard, and only
+    the documents and seeds that it lets through are shuffled and joined;
+    the result is the same. Null, blank or shorter texts share nothing.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", word_numbers("text").alias("words")).where(F.size("words") >= SPAN)
@@ -174,8 +224,17 @@ def leaks(documents: DataFrame, cases: DataFrame, broadcast_seeds: int = BROADCA
         rows = held.orderBy("case_id").collect()
         known = Cases.of([r[0] for r in rows], [np.asarray(r[1], np.int64).view(np.uint64) for r in rows])
         return docs.mapInArrow(_scan(spark.sparkContext.broadcast(known)), _FOUND)
-    seeds = "id bigint, seed bigint, place int"
-    theirs = held.mapInArrow(_seeds, seeds).select(F.col("id").alias("case_id"), "seed", F.col("place").alias("at"))
-    hits = docs.mapInArrow(_seeds, seeds).join(theirs, "seed").groupBy(F.col("id").alias("doc_id"), "case_id").agg(F.collect_set(F.col("place") - F.col("at")).alias("shift"))
-    both = hits.join(docs, "doc_id").join(held.withColumnRenamed("words", "case_words"), "case_id")
+    theirs = written(held.mapInArrow(_seeds, "id bigint, seed bigint, place int").select(F.col("id").alias("case_id"), "seed", F.col("place").alias("at")))
+    shards = 1
+    while shards * FILTER_BITS < n * BITS_EACH:
+        shards *= 2
+    passed = None
+    for k in range(shards):
+        mine = theirs.where(F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(shards - 1)) == k)
+        state = spark.sparkContext.broadcast((_filter(mine, -(-n // shards)), k, shards))
+        part = written(docs.mapInArrow(_filtered(state), "doc_id bigint, words array<bigint>, seeds array<struct<seed: bigint, place: int>>"))
+        passed = part if passed is None else passed.unionByName(part)
+    hits = passed.select("doc_id", F.inline("seeds")).join(theirs, "seed").groupBy("doc_id", "case_id").agg(F.collect_set(F.col("place") - F.col("at")).alias("shift"))
+    texts = passed.select("doc_id", "words") if shards == 1 else passed.select("doc_id", "words").dropDuplicates(["doc_id"])
+    both = hits.join(texts, "doc_id").join(held.withColumnRenamed("words", "case_words"), "case_id")
     return both.select("doc_id", "case_id", "shift", "words", "case_words").mapInArrow(_verify, _FOUND)
