@@ -18,8 +18,8 @@ MASKS = ("111111110000", "111100001111", "000011111111")
 SPAN = 12
 #: Up to so many seed hashes of the evaluation side are sent to every task (24 bytes each); of more, a bit filter is sent.
 BROADCAST_SEEDS = 2_000_000
-#: Bits of that filter at most (128 MB), and bits for each seed; what has more seeds than fit is passed in shards.
-FILTER_BITS, BITS_EACH = 1 << 30, 16
+#: Bits of that filter at most (128 MB), bits for each seed at best and at least, and bits that a seed sets in its word; what has more seeds than fit is passed in shards.
+FILTER_BITS, BITS_EACH, BITS_LEAST, BITS_SET = 1 << 30, 64, 32, 4
 _FACTOR = (np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FOUND = "doc_id bigint, case_id bigint, longest int, covered int"
 
@@ -176,17 +176,20 @@ def _filtered(state):
 
 
 def _let_through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(64 * len(bits) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    word = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
+    mask = np.zeros(len(h), np.uint64)
+    for k in range(BITS_SET):
+        mask |= np.uint64(1) << ((h >> np.uint64(40 + 6 * k)) & np.uint64(63))
+    return word & mask == mask
 
 
 def _filter(seeds: DataFrame, n: int) -> np.ndarray:
-    """A bit for each seed, by its lowest bits; put together in tasks, so at most FILTER_BITS / 64 words reach the driver."""
+    """Each seed sets some bits of one word; put together in tasks, so at most FILTER_BITS / 64 words reach the driver."""
     size = 64
     while size < min(FILTER_BITS, n * BITS_EACH):
         size *= 2
-    at = F.col("seed").bitwiseAND(F.lit(size - 1))
-    words = seeds.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toArrow()
+    mask = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(seed, {40 + 6 * k}) & 63 as int))" for k in range(BITS_SET))
+    words = seeds.groupBy(F.col("seed").bitwiseAND(F.lit(size // 64 - 1)).alias("word")).agg(F.bit_or(F.expr(mask)).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
@@ -226,7 +229,7 @@ def leaks(documents: DataFrame, cases: DataFrame, broadcast_seeds: int = BROADCA
         return docs.mapInArrow(_scan(spark.sparkContext.broadcast(known)), _FOUND)
     theirs = written(held.mapInArrow(_seeds, "id bigint, seed bigint, place int").select(F.col("id").alias("case_id"), "seed", F.col("place").alias("at")))
     shards = 1
-    while shards * FILTER_BITS < n * BITS_EACH:
+    while shards * FILTER_BITS < n * BITS_LEAST:
         shards *= 2
     passed = None
     for k in range(shards):
