@@ -77,9 +77,28 @@ def document_digest(document: pd.Series) -> pd.Series:
     return document.map(one)
 
 
-def slug(c: Column | str) -> Column:
-    """Lower case, runs of anything but letters and digits as one underscore, none outside [FN-10, FN-11]."""
-    return F.regexp_replace(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", "_"), "^_|_$", "")
+def slug(c: Column | str, prefix: str = "") -> Column:
+    """Lower case, runs of anything but letters and digits as one underscore, none outside [FN-10]; a type prefix given twice is dropped [FN-11]."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.regexp_replace(out, f"^{prefix}_", "") if prefix else out
+
+
+def capture_title(kind: Column | str, author: Column | str, published: Column | str) -> Column:
+    """Default title of a capture: its kind, its author and, if known, the day it was published, as in "Web page by Ann, 3 May 2024" [FN-10, SUP-45]."""
+    name = F.replace(F.lower(_col(kind)), F.lit("_"), F.lit(" "))
+    name = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+    day = F.coalesce(F.concat(F.lit(", "), F.date_format(_col(published), "d MMMM yyyy")), F.lit(""))
+    return F.concat(name, F.lit(" by "), _col(author), day)
+
+
+def capture_faults(version: Column, required: dict[str, Column], authors: list[Column]) -> Column:
+    """What is wrong with a capture, in this order: missing or empty keys by name, a version other than 1, no author [SRC-16]."""
+    empty = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
+    missing = [F.when(empty(c), F.lit(f"lacks {k}")) for k, c in required.items()]
+    nobody = F.lit(True)
+    for a in authors:
+        nobody = nobody & empty(a)
+    return F.array_compact(F.array(*missing, F.when(~F.coalesce(version == 1, F.lit(False)), "version"), F.when(nobody, "author")))
 
 
 def words(c: Column | str) -> Column:
@@ -119,14 +138,15 @@ def shingles(tokens: Column, n: int = 4) -> Column:
 
 def quantity_tokens(c: Column | str) -> Column:
     """Numbers, words and marks, thousands joined and glued forms kept whole [FN-17]."""
-    joined = F.regexp_replace(_col(c), r"(?<=\d)[ ,](?=\d{3}(?!\d))", "")
+    joined = F.regexp_replace(_col(c), r"(?<!\d\.\d{1,18})(?<=\d)[ ,](?=\d{3})", "")
     pattern = r"([±+-]?\d+(?:\.\d+)?/\d+|\d+[A-Za-z][A-Za-z0-9°%/()_-]*|[±+-]?\d+(?:\.\d+)?(?![A-Za-z0-9/])|[A-Za-z°%][A-Za-z0-9°%/()_-]*|[^\sA-Za-z0-9])"
     return F.regexp_extract_all(joined, F.lit(pattern), F.lit(1))
 
 
 def acronyms(c: Column | str) -> Column:
-    """Distinct runs of two to six capitals standing alone, sorted [FN-19]."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"(?<![\p{L}\p{M}\p{N}_])([A-Z]{2,6})(?![\p{L}\p{M}\p{N}_])"), F.lit(1))))
+    """Distinct runs of two to six capitals between which and the text around stands no letter, digit or hyphen of ASCII, sorted [FN-19]."""
+    whole = F.regexp_extract_all(_col(c), F.lit("([A-Za-z0-9-]+)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.rlike("^[A-Z]{2,6}$"))))
 
 
 def unit_shaped(token: Column) -> Column:
@@ -238,28 +258,48 @@ def well_formed(id_: Column | str, guid: Column | str) -> Column:
     )
 
 
+# Words that point at something said before, and how nouns made from verbs and adjectives end.
+POINTERS = ("it", "its", "they", "them", "their", "this", "that", "these", "those", "such", "former", "latter")
+NOMINAL_ENDS = ("tion", "sion", "ment", "ance", "ence", "ity", "ness", "ism", "age")
+#: A nominal is longer than this.
+NOMINAL_LENGTH = 6
+
+
 def load_metrics(text: Column) -> dict[str, Column]:
-    """Words, sentences, words a sentence, noun endings and pointers per 100 words, and grade: what needs no tagger [FN-32]."""
+    """Words, sentences, words a sentence, nominals per 100 words, pointers a sentence, and grade: what needs no tagger [FN-32].
+
+    Without a tagger every word of the pointer list counts, and every long
+    word with a nominal's ending. The grade is 0 up to three words.
+    """
     w = F.regexp_extract_all(text, F.lit(r"([A-Za-z]+(?:'[a-z]+)?)"), F.lit(1))
     n = F.greatest(F.size(w), F.lit(1))
     s = F.greatest(F.size(F.filter(F.split(text, r"[.!?]+"), lambda x: x.rlike("[A-Za-z]"))), F.lit(1))
-    share = lambda test: 100.0 * F.size(F.filter(w, test)) / n
+    count = lambda test: F.size(F.filter(w, test))
     syllables = F.aggregate(w, F.lit(0), lambda a, x: a + F.greatest(F.size(F.regexp_extract_all(F.lower(x), F.lit("([aeiouy]+)"), F.lit(1))), F.lit(1)))
     return {
         "words": F.size(w).cast("long"),
         "sentences": s.cast("long"),
         "length": F.round(n / s, 6),
-        "nominal": F.round(share(lambda x: (F.length(x) > 6) & F.lower(x).rlike("(tion|ment|ness|ity|ance|ence|ism)s?$")), 6),
-        "pointers": F.round(share(lambda x: F.lower(x).isin("it", "its", "this", "that", "these", "those", "they", "them", "he", "she")), 6),
-        "grade": F.round(0.39 * (n / s) + 11.8 * (syllables / n) - 15.59, 6),
+        "nominal": F.round(100.0 * count(lambda x: (F.length(x) > NOMINAL_LENGTH) & F.lower(x).rlike(f"({'|'.join(NOMINAL_ENDS)})s?$")) / n, 6),
+        "pointers": F.round(count(lambda x: F.lower(x).isin(*POINTERS)) / s, 6),
+        "grade": F.round(F.when(F.size(w) > 3, 0.39 * (n / s) + 11.8 * (syllables / n) - 15.59).otherwise(0.0), 6),
     }
 
 
+# Words that a cut text must not end in.
+DANGLING = ("and", "or", "with", "of", "for", "to", "the", "a", "an", "by", "in", "on", "at", "from", "as", "but", "nor")
+
+
 def cut(c: Column | str, width: int) -> Column:
-    """At most ``width`` characters, ending at a word, without trailing small words and marks [FN-12]."""
-    text = squeezed(c)
-    short = F.when(F.length(text) <= width, text).otherwise(F.regexp_replace(F.substring(text, 1, width + 1), r"\s+\S*$", ""))
-    return F.regexp_replace(short, r"(?:\s+(?:a|an|the|of|to|and|or|in|on|for|with|by))*[\s,;:.\-]*$", "")
+    """A text of more than ``width`` characters cut at its last space within them, without small words and marks at its end; a shorter one as it is [FN-12].
+
+    Where nothing would be left, the first ``width`` characters.
+    """
+    text = _col(c)
+    head = F.substring(text, 1, width)
+    whole = F.regexp_replace(head, " [^ ]*$", "")
+    kept = F.regexp_replace(F.regexp_replace(whole, rf"(?i)(?:(?:^| )(?:{'|'.join(DANGLING)})[,;:]*)+$", ""), "[ ,;:]+$", "")
+    return F.when(F.length(text) <= width, text).when(kept == "", head).otherwise(kept)
 
 
 def id_tail(c: Column | str) -> Column:
@@ -307,9 +347,12 @@ def mentions(c: Column | str, names: list[str]) -> Column:
     return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(rf"(?<![\w.])({body})(?![\w]|\.\w)"), F.lit(1)))
 
 
-# Words that make the number before or after them a bound.
-BOUND_BEFORE = "than least most maximum minimum max min up within between exceed exceeding below above under over from to range no".split()
-BOUND_AFTER = "or maximum minimum max min tolerance nominal".split()
+# Words of the four before a number that make it a bound, and those of the three after it that do.
+BOUND_BEFORE = (
+    "least most more less than exceeding exceed within below above under over up to between minimum maximum from or fewer greater beyond "
+    "until after before per every each of by not no about plus minus"
+).split()
+BOUND_AFTER = "or maximum minimum at".split()
 
 
 def quantity_faults(tokens: Column | str, units: list[str]) -> Column:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators.measure import MET, UNMET
+from graphloom.session import written
 
 Work = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 Judge = Callable[[DataFrame], list[str]]
@@ -109,7 +110,7 @@ class Run:
         return "parked" if self.queue else "exhausted" if self.exhausted else "completed"
 
 
-def run(flow: Flow, bindings: dict[tuple[str, str], DataFrame], budget: int = 1, pause_before: str | None = None, resumed: Run | None = None) -> Run:
+def run(flow: Flow, bindings: dict[tuple[str, str], DataFrame], budget: int = 1, pause_before: str | None = None, resumed: Run | None = None, stored: bool = True) -> Run:
     """Run a flow [WFL-01..WFL-06, WFL-08, WFL-09]; judges are taken whatever their measured confidence.
 
     Bindings must name open inputs and give every required one. A node
@@ -117,7 +118,9 @@ def run(flow: Flow, bindings: dict[tuple[str, str], DataFrame], budget: int = 1,
     fire takes back what it delivered before; a back link fires while its
     target has passes left, and queues every node from its target to its
     source again. ``pause_before`` parks the run ahead of a node; passing
-    the parked run resumes it.
+    the parked run resumes it. What a node makes is written before it is
+    judged and delivered, so a node that only fails when its rows are read
+    still stops the run by its own name; with ``stored`` false it isn't.
     """
     order = flow.order()
     if resumed is None:
@@ -145,6 +148,7 @@ def run(flow: Flow, bindings: dict[tuple[str, str], DataFrame], budget: int = 1,
         state.passes[name] = state.passes.get(name, 0) + 1
         try:
             made = node.work(have)
+            made = {p: written(v) for p, v in made.items()} if stored else made
         except Exception as problem:
             raise Stop(f"{name}: {problem}") from problem
         state.trace.append((name, state.passes[name], "ran"))
@@ -170,15 +174,22 @@ def run(flow: Flow, bindings: dict[tuple[str, str], DataFrame], budget: int = 1,
     return state
 
 
-def parked(state: Run, folder: str) -> None:
-    """Write a parked run's tables, so that it may be resumed in another session [WFL-08, STR-05]."""
+_RECORD = "queue array<string>, passes map<string, int>, exhausted array<string>, trace array<struct<node: string, nth: int, state: string>>, ports array<struct<node: string, port: string>>"
+
+
+def parked(spark: SparkSession, state: Run, folder: str) -> None:
+    """Write a parked run, its tables and then its record, so that it may be resumed in another session [WFL-08, STR-05]."""
     for (node, port), df in state.bound.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{node}/{port}")
+        df.write.mode("overwrite").parquet(f"{folder}/bound/{node}/{port}")
+    record = (state.queue, state.passes, state.exhausted, state.trace, list(state.bound))
+    spark.createDataFrame([record], _RECORD).coalesce(1).write.mode("overwrite").json(f"{folder}/record")
 
 
-def unparked(spark: SparkSession, folder: str, ports: list[tuple[str, str]], passes: dict[str, int], queue: list[str]) -> Run:
-    """The run that ``parked`` wrote, given what its record says."""
-    return Run(passes=dict(passes), bound={(n, p): spark.read.parquet(f"{folder}/{n}/{p}") for n, p in ports}, queue=list(queue))
+def unparked(spark: SparkSession, folder: str) -> Run:
+    """The run that ``parked`` wrote."""
+    r = spark.read.schema(_RECORD).json(f"{folder}/record").first()
+    bound = {(p["node"], p["port"]): spark.read.parquet(f"{folder}/bound/{p['node']}/{p['port']}") for p in r["ports"]}
+    return Run(passes=dict(r["passes"]), trace=[tuple(t) for t in r["trace"]], bound=bound, exhausted=list(r["exhausted"]), queue=list(r["queue"]))
 
 
 def budget_for(priorities: list[str | None], by_priority: dict[str, int], otherwise: int = 1) -> int:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import key, prefix_of
+from graphloom.session import written
 
 ITEM = ("guid", "id_self", "prefix", "status", "location")
 EDGE = ("guid_source", "id_relation", "guid_target", "id_target")
@@ -42,8 +44,48 @@ class ReadOnly(ValueError):
 
 
 _LIKE = re.compile(r"\blike\b", re.IGNORECASE)
-_GROUP_CONCAT = re.compile(r"\bgroup_concat\s*\(\s*(distinct\s+)?([^(),]+?)\s*(?:,\s*('(?:[^']|'')*'))?\s*\)", re.IGNORECASE)
+_GROUP_CONCAT = re.compile(r"\bgroup_concat\s*\(", re.IGNORECASE)
 _WRITES = re.compile(r"Command|Insert|Delete|Update|Merge|Create|Drop|Alter|Truncate|^Set|Cache|Refresh|Load|Replace(?:Table|Data)")
+_LITERAL = re.compile(r"('(?:[^']|'')*')")
+_WITH = re.compile(r"\s*with\b(\s+recursive\b)?", re.IGNORECASE)
+
+
+def _arguments(sql: str, at: int) -> tuple[list[str], int]:
+    """The arguments of a call whose bracket opens before ``at``, and where it ends; brackets and literals inside belong to them."""
+    out, depth, start = [], 0, at
+    while at < len(sql):
+        c = sql[at]
+        if c == "'":
+            at = _LITERAL.match(sql, at).end() if _LITERAL.match(sql, at) else len(sql)
+            continue
+        if c == "(":
+            depth += 1
+        elif c == ")" and depth == 0:
+            return [*out, sql[start:at].strip()], at + 1
+        elif c == ")":
+            depth -= 1
+        elif c == "," and depth == 0:
+            out.append(sql[start:at].strip())
+            start = at + 1
+        at += 1
+    raise ValueError("a bracket isn't closed")
+
+
+def _joined_in_order(sql: str) -> str:
+    """GROUP_CONCAT calls as ordered LISTAGG, inner ones too."""
+    out, at = [], 0
+    literal = [m.span() for m in _LITERAL.finditer(sql)]
+    calls = [m for m in _GROUP_CONCAT.finditer(sql) if not any(a <= m.start() < b for a, b in literal)]
+    for found in calls:
+        if found.start() < at:  # inside a call that is done
+            continue
+        given, end = _arguments(sql, found.end())
+        value, apart = _joined_in_order(given[0]), given[1] if len(given) > 1 else "','"
+        distinct = re.match(r"distinct\b\s*", value, re.IGNORECASE)
+        bare = value[distinct.end() :] if distinct else value
+        out += [sql[at : found.start()], f"listagg({'DISTINCT ' if distinct else ''}{bare}, {apart}) WITHIN GROUP (ORDER BY {bare})"]
+        at = end
+    return "".join([*out, sql[at:]])
 
 
 def translated(sql: str) -> str:
@@ -53,17 +95,16 @@ def translated(sql: str) -> str:
     since the dialect leaves the order open; IFNULL and || carry over.
     String literals stay untouched.
     """
-    out = []
-    for i, part in enumerate(re.split(r"('(?:[^']|'')*')", sql)):
-        out.append(part if i % 2 else _LIKE.sub("ILIKE", part))
-    joined = "".join(out)
-    return _GROUP_CONCAT.sub(lambda m: f"listagg({m[1] or ''}{m[2]}, {m[3] or chr(39) + ',' + chr(39)}) WITHIN GROUP (ORDER BY {m[2]})", joined)
+    parts = _LITERAL.split(sql)
+    return _joined_in_order("".join(part if i % 2 else _LIKE.sub("ILIKE", part) for i, part in enumerate(parts)))
 
 
 class FactDatabase:
-    """item, edge and containment as views of one session, for reading only [SQL-01].
+    """item, edge and containment for reading only [SQL-01].
 
-    Two items of one guid are refused, as a primary key would.
+    Two items of one guid are refused, as a primary key would. The tables
+    are views under a name of this database alone, so databases of one
+    session don't meet.
     """
 
     def __init__(self, item: DataFrame, edge: DataFrame, containment: DataFrame, checked: bool = True) -> None:
@@ -73,19 +114,30 @@ class FactDatabase:
             twice = item.groupBy("guid").count().where("count > 1").limit(1).collect()
             if twice:
                 raise ValueError(f"guid {twice[0][0]} is declared more than once")
-        for name, df in (("item", item), ("edge", edge), ("containment", containment)):
-            df.createOrReplaceTempView(name)
+        self._name = f"graphloom_{uuid.uuid4().hex}"
+        for name, df in self._tables().items():
+            df.createOrReplaceTempView(f"{self._name}_{name}")
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"item": self.item, "edge": self.edge, "containment": self.containment}
+
+    def _over_tables(self, sql: str) -> str:
+        """The query with its tables bound by leading common table expressions."""
+        bound = ", ".join(f"{t} AS (SELECT * FROM {self._name}_{t})" for t in self._tables())
+        head = _WITH.match(sql)
+        return f"WITH{head[1] or ''} {bound}, {sql[head.end() :]}" if head else f"WITH {bound} {sql}"
 
     @classmethod
     def of(cls, deliveries: DataFrame, edges: DataFrame, containments: DataFrame) -> FactDatabase:
-        """From delivered rows; facts are unique by construction."""
-        return cls(item_facts(deliveries), edge_facts(edges), containment_facts(containments), checked=False)
+        """From delivered rows; facts are unique by construction, and written once so that no query derives them anew."""
+        return cls(written(item_facts(deliveries)), written(edge_facts(edges)), written(containment_facts(containments)), checked=False)
 
     def run(self, sql: str, parameters: tuple = ()) -> DataFrame:
         """A query's rows; parameters bind by position; anything that isn't a query is refused [SQL-02, SQL-05]."""
-        text = translated(sql)
+        text = translated(sql).strip().rstrip(";")
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
         self._refuse_writes(plan)
+        text = self._over_tables(text)
         return self.spark.sql(text, args=list(parameters)) if parameters else self.spark.sql(text)
 
     def _refuse_writes(self, plan) -> None:

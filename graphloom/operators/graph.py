@@ -116,9 +116,7 @@ def orphans(db: FactDatabase) -> tuple[DataFrame, DataFrame]:
     makes it empty.
     """
     alone = db.item.join(db.edge.select(F.col("guid_target").alias("guid")), "guid", "left_anti").join(db.containment.select(F.col("guid_held").alias("guid")), "guid", "left_anti")
-    db.item.createOrReplaceTempView("item")
-    db.edge.createOrReplaceTempView("edge")
-    unused = db.spark.sql("select id_self from item where prefix = 'r' and id_self not in (select distinct id_relation from edge)")
+    unused = db.run("select id_self from item where prefix = 'r' and id_self not in (select distinct id_relation from edge)")
     return alone.select("guid", "id_self"), unused
 
 

@@ -37,11 +37,11 @@ def rates(cases: DataFrame) -> DataFrame:
         F.when(F.col("verdict") == UNMET, (voted == MET).cast("int")).alias("fn"),
         (F.size(F.array_distinct("samples")) == 1).cast("int").alias("u"),
     )
-    rows.createOrReplaceTempView("_judged")
     return cases.sparkSession.sql(
         """select case when grouping(origin) = 1 then 'all' else origin end as origin, count(*) as cases, max(k) as samples,
            round(avg(fp), 3) as false_positive, round(avg(fn), 3) as false_negative, round(avg(u), 3) as unanimous
-           from _judged group by grouping sets ((origin), ())"""
+           from {judged} group by grouping sets ((origin), ())""",
+        judged=rows,
     )
 
 

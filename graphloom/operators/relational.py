@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
     """Rows whose value isn't among the other's, as SQL's NOT IN: a null among those empties the result [JOIN-05]."""
-    left.createOrReplaceTempView("_not_in_left")
-    right.select(F.col(other).alias("_v")).createOrReplaceTempView("_not_in_right")
-    return left.sparkSession.sql(f"select * from _not_in_left where `{column}` not in (select _v from _not_in_right)")
+    return left.sparkSession.sql(f"select * from {{left}} where `{column}` not in (select _v from {{right}})", left=left, right=right.select(F.col(other).alias("_v")))
 
 
 def both_ends_in(edge: DataFrame, ids: DataFrame, a: str = "guid_source", b: str = "guid_target", key: str = "guid") -> DataFrame:

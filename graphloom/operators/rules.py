@@ -18,6 +18,7 @@ from graphloom.operators.assurance import ADVISORY, CRITICAL, gaps
 from graphloom.operators.facts import FactDatabase
 from graphloom.operators.graph import on_cycles, reach, redundant
 from graphloom.operators.relational import bound_breaks, majority, repeats, undirected_both
+from graphloom.session import written
 
 FINDING = "id_check string, guid string, path string, severity string, message string"
 
@@ -158,13 +159,17 @@ def trace(c: Context) -> DataFrame:
 
 
 def run(c: Context, skip: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
-    """All findings in rule order, and the errors of rules that raised [SET-07, FLT-09]."""
+    """All findings in rule order, and the errors of rules that raised [SET-07, FLT-09].
+
+    Each rule's findings are written as it runs, so what fails only when
+    rows are read is that rule's error too, and no finding of the others.
+    """
     out, errors = c.spark.createDataFrame([], FINDING), {}
     for name, f in RULES.items():
         if name in skip or (only and name not in only):
             continue
         try:
-            out = out.unionByName(f(c))
+            out = out.unionByName(written(f(c)))
         except Exception as problem:  # a rule's own failure is no finding
             errors[name] = f"{type(problem).__name__}: {problem}"
     return out, errors

@@ -31,5 +31,20 @@ def over_facts(sql: str, recursive: bool = False) -> str:
     return head + FACTS + (", " + body[5:] if body[:5].lower() == "with " else body)
 
 
+_STORED: dict[tuple, FactDatabase] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table's files do."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path, system.getFileStatus(where).getModificationTime(), system.getContentSummary(where).getLength()
+
+
 def database(spark: SparkSession, folder: str) -> FactDatabase:
-    return FactDatabase.of(table(spark, folder, "item"), table(spark, folder, "edge"), table(spark, folder, "containment"))
+    """The fact database of a data folder, derived and stored once while the application lasts and its tables stay as they are."""
+    names = ("item", "edge", "containment")
+    stamp = (spark.sparkContext.applicationId, *(_stamp(spark, f"{folder}/{n}.parquet") for n in names))
+    if stamp not in _STORED:
+        _STORED[stamp] = FactDatabase.of(*(table(spark, folder, n) for n in names))
+    return _STORED[stamp]

@@ -26,8 +26,8 @@ def str03_stale_captures(spark, folder):
     return S.stale_captures(spark, f"{folder}/observation.parquet", now, "guid_self", "content_digest")
 
 
-@CORE.add("str04_windowed_counts", "select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as start, event_type, count(*) as n from events where ts is not null group by 1, 2")
-def str04_windowed_counts(spark, folder):
+@CORE.add("str_windowed_counts", "select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as start, event_type, count(*) as n from events where ts is not null group by 1, 2")
+def str_windowed_counts(spark, folder):
     return S.windowed_counts(spark, f"{folder}/events.parquet", "ts", "event_type")
 
 

@@ -14,6 +14,7 @@ from graphloom.plans.facts import database, over_facts
 from graphloom.plans.registry import CORE
 from graphloom.session import table, written
 
+_POINTERS = ", ".join(f"'{w}'" for w in X.POINTERS)
 _STOP = ", ".join(f"'{w}'" for w in X.STOP)
 
 
@@ -56,22 +57,24 @@ def fn16_object_form(spark, folder):
     return table(spark, folder, "item").select("ord", "guid", X.object_form("title").alias("form"))
 
 
-@CORE.add("fn17_quantities", "select doc_id, len(regexp_extract_all(text, '\\b[0-9]+\\b'))::int as n_number from documents where text is not null")
-def fn17_quantities(spark, folder):
-    """Whole numbers in a text."""
-    d = table(spark, folder, "documents").where("text is not null")
-    return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\b[0-9]+\b)"), F.lit(1))).alias("n_number"))
-
-
 @CORE.add("fn17_tokens")
 def fn17_tokens(spark, folder):
     """Quantity tokens with their places; look-around isn't in the SQL's regular expressions."""
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(X.quantity_tokens("text")).alias("pos", "token"))
 
 
-@CORE.add("fn19_acronyms", "select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b'))), ',') as acronyms from documents where text is not null and len(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b')) > 0 and regexp_full_match(text, '[[:ascii:]]*')")
+@CORE.add("fn17_quantities")
+def fn17_quantities(spark, folder):
+    """Quantity tokens of each text that are numbers."""
+    tokens = table(spark, folder, "documents").where("text is not null").select("doc_id", X.quantity_tokens("text").alias("t"))
+    return tokens.select("doc_id", F.size(F.filter("t", lambda x: x.rlike(r"^[±+-]?\d+(\.\d+)?$"))).alias("n_number"))
+
+
+_ACRONYMS = "list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9-]+'), lambda x: regexp_full_match(x, '[A-Z]{2,6}'))))"
+
+
+@CORE.add("fn19_acronyms", f"select doc_id, array_to_string({_ACRONYMS}, ',') as acronyms from documents where text is not null and len({_ACRONYMS}) > 0")
 def fn19_acronyms(spark, folder):
-    """Of all texts; the SQL sees only plain ones, since word ends differ beyond ASCII between the engines."""
     d = table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", X.acronyms("text").alias("a")).where(F.size("a") > 0).select("doc_id", F.array_join("a", ",").alias("acronyms"))
 
@@ -89,16 +92,17 @@ def fn24_forms(spark, folder):
 
 @CORE.add(
     "fn32_load_metrics",
-    """with t as (select ord, prefix, regexp_extract_all(description, '[A-Za-z]+(?:''[a-z]+)?') as w, greatest(len(list_filter(regexp_split_to_array(description, '[.!?]+'), lambda x: regexp_matches(x, '[A-Za-z]'))), 1) as s from item where description is not null)
+    f"""with t as (select ord, prefix, regexp_extract_all(description, '[A-Za-z]+(?:''[a-z]+)?') as w, greatest(len(list_filter(regexp_split_to_array(description, '[.!?]+'), lambda x: regexp_matches(x, '[A-Za-z]'))), 1) as s from item where description is not null)
        select prefix, count(*) as n, sum(len(w))::bigint as words, sum(s)::bigint as sentences, round(median(greatest(len(w), 1) / s), 4) as length,
-         round(median(100.0 * len(list_filter(w, lambda x: lower(x) in ('it', 'its', 'this', 'that', 'these', 'those', 'they', 'them', 'he', 'she'))) / greatest(len(w), 1)), 4) as pointers from t group by 1""",
+         round(median(len(list_filter(w, lambda x: lower(x) in ({_POINTERS}))) / s), 4) as pointers,
+         round(median(100.0 * len(list_filter(w, lambda x: length(x) > {X.NOMINAL_LENGTH} and regexp_matches(lower(x), '({"|".join(X.NOMINAL_ENDS)})s?$'))) / greatest(len(w), 1)), 4) as nominal from t group by 1""",
 )
 def fn32_load_metrics(spark, folder):
     """Text load by type: sums of words, medians of rates [AGG-09, EVL-11]."""
     rows = table(spark, folder, "item").where("description is not null")
     m = X.load_metrics(F.col("description"))
     rows = rows.select("prefix", *[c.alias(k) for k, c in m.items()])
-    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), F.round(F.median("length"), 4).alias("length"), F.round(F.median("pointers"), 4).alias("pointers"))
+    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), F.round(F.median("length"), 4).alias("length"), F.round(F.median("pointers"), 4).alias("pointers"), F.round(F.median("nominal"), 4).alias("nominal"))
 
 
 _PHRASE = rf"""w as (select guid, regexp_extract_all(regexp_replace(lower(coalesce(description, '')), '\b[a-z][a-z0-9]*[_.][a-z0-9_.]+\b', ' ', 'g'), '[a-z]+(?:''[a-z]+)?') as w from item where regexp_full_match(coalesce(description, ''), '[[:ascii:]]*')),
@@ -219,16 +223,55 @@ def fn18_quantity_faults(spark, folder):
     return d.select("ord", "guid", F.inline(X.quantity_faults("tokens", ["kg", "m", "s", "minutes", "pages", "rows", "files"])))
 
 
-@CORE.add("fn12_cut", "select ord, guid, title from item where title is null or length(title) <= 200")
+_DANGLING = rf"(?i)(?:(?:^| )(?:{'|'.join(X.DANGLING)})[,;:]*)+$"
+
+
+def _cut_sql(width: int) -> str:
+    kept = rf"regexp_replace(regexp_replace(regexp_replace(left(title, {width}), ' [^ ]*$', ''), '{_DANGLING}', ''), '[ ,;:]+$', '')"
+    return f"select ord, guid, case when title is null or length(title) <= {width} then title when {kept} = '' then left(title, {width}) else {kept} end as title from item"
+
+
+@CORE.add("fn12_cut", _cut_sql(24))
 def fn12_cut(spark, folder):
-    """Titles cut at 200 characters; the SQL sees only those that are shorter."""
-    return table(spark, folder, "item").select("ord", "guid", X.cut("title", 200).alias("title"))
+    """Titles cut at 24 characters, which most exceed."""
+    return table(spark, folder, "item").select("ord", "guid", X.cut("title", 24).alias("title"))
 
 
-@CORE.add("fn12_cut_short")
+@CORE.add("fn12_cut_short", _cut_sql(12))
 def fn12_cut_short(spark, folder):
-    """Titles cut at 20 characters, which most exceed."""
-    return table(spark, folder, "item").select("ord", "guid", X.cut("title", 20).alias("title"))
+    """Titles cut at 12 characters, which leaves little but small words of some."""
+    return table(spark, folder, "item").select("ord", "guid", X.cut("title", 12).alias("title"))
+
+
+@CORE.add("fn09_published", "select obs_id, 'sha256:' || sha256(concat('1', chr(10), coalesce(source_uri, ''), chr(10), coalesce(attribution, ''), chr(10), coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%SZ'), ''), chr(10), coalesce(content, ''))) as digest from observation")
+def fn09_published(spark, folder):
+    """Capture digests over the time of publication too."""
+    when = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, folder, "observation").select("obs_id", X.capture_digest(F.lit(1), F.col("source_uri"), F.col("attribution"), when, F.col("content")).alias("digest"))
+
+
+@CORE.add("fn10_title", "select obs_id, upper(left(k, 1)) || substr(k, 2) || ' by ' || attribution || coalesce(', ' || strftime(published_at, '%-d %B %Y'), '') as title from (select *, replace(lower(source_kind), '_', ' ') as k from observation)")
+def fn10_title(spark, folder):
+    """Default titles of captures; null where kind or author is."""
+    return table(spark, folder, "observation").select("obs_id", X.capture_title("source_kind", "attribution", "published_at").alias("title"))
+
+
+@CORE.add("fn11_model_slug", "select ord, guid, regexp_replace(regexp_replace(regexp_replace(lower(prefix || ' ' || title), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), '^ddr_', '') as slug from item")
+def fn11_model_slug(spark, folder):
+    """Slugs of names that may repeat the type prefix ddr, which is dropped."""
+    return table(spark, folder, "item").select("ord", "guid", X.slug(F.concat("prefix", F.lit(" "), "title"), "ddr").alias("slug"))
+
+
+@CORE.add(
+    "src16_capture_faults",
+    """select obs_id, array_to_string(list_filter([case when coalesce(source_kind, '') = '' then 'lacks source_kind' end, case when coalesce(source_uri, '') = '' then 'lacks source_uri' end, case when coalesce(content, '') = '' then 'lacks text' end,
+         case when observed_at is null then 'lacks captured_at' end, case when coalesce(attribution, '') = '' then 'author' end], lambda x: x is not null), ',') as faults from observation""",
+)
+def src16_capture_faults(spark, folder):
+    """What keeps each capture from being taken in; empty where nothing does."""
+    need = {"source_kind": F.col("source_kind"), "source_uri": F.col("source_uri"), "text": F.col("content"), "captured_at": F.col("observed_at")}
+    faults = X.capture_faults(F.lit(1), need, [F.col("attribution")])
+    return table(spark, folder, "observation").select("obs_id", F.array_join(faults, ",").alias("faults"))
 
 
 _SHAPE = {"type": "object", "required": ["guid_self", "title"], "properties": {"id_self": {"type": "string"}, "guid_self": {"type": "string", "pattern": "^[a-z]{1,8}_[0-9a-f]{32}$"}, "title": {"type": "string", "minLength": 1}, "relation": {"type": "array", "items": {"$ref": "#/$defs/edge"}}}, "$defs": {"edge": {"type": "object", "required": ["id_relation", "guid_target"]}}}

@@ -35,7 +35,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: the session's spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder every executor sees: the session's spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -43,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="graphloom-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(own)

@@ -88,11 +88,18 @@ def test_budget_and_park(frame):
 def test_parked_tables(frame, spark, tmp_path):
     f = W.Flow({"a": node(), "b": node()}, [W.Link("a", "out", "b", "in")])
     p = W.run(f, {("a", "in"): frame([(7,)], "x int")}, pause_before="b")
-    W.parked(p, str(tmp_path))
-    again = W.unparked(spark, str(tmp_path), list(p.bound), p.passes, p.queue)
+    W.parked(spark, p, str(tmp_path))
+    again = W.unparked(spark, str(tmp_path))
+    assert again.queue == ["b"] and again.passes == {"a": 1} and again.trace == [("a", 1, "ran")] and again.status == "parked"
     assert W.run(f, {}, 1, "b", again).bound[("b", "out")].first()[0] == 7
 
 
+def test_what_fails_when_rows_are_read_stops_by_name(frame):
+    bad = W.Node(lambda x: {"out": x["in"].select(F.raise_error(F.lit("no")).alias("x"))}, {"in": False})
+    with pytest.raises(W.Stop, match="^a:"):
+        W.run(W.Flow({"a": bad}, []), {("a", "in"): frame([(1,)], "x int")})
+
+
 def test_faults():
     f = W.Flow({"a": node(), "b": node()}, [W.Link("a", "out", "b", "no"), W.Link("a", "out", "b", "in", "met"), W.Link("a", "out", "b", "in"), W.Link("a", "out", "z", "in")])
     assert len(f.faults()) == 4

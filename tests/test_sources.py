@@ -153,3 +153,17 @@ def test_sinks(frame, tmp_path):
     K.write_text(str(tmp_path / "f"), "x")
     K.write_text(str(tmp_path / "f"), "y")
     assert (tmp_path / "f").read_text() == "y" and len(os.listdir(tmp_path)) == 1
+
+
+def test_two_databases_do_not_meet(frame):
+    from graphloom.operators.facts import FactDatabase
+
+    def make(n):
+        item = frame([(f"g{i}", "a_1", "a", None, "f", i) for i in range(n)], "guid string, id_self string, prefix string, status string, location string, ord bigint")
+        edge = frame([], "ord bigint, guid_source string, id_relation string, guid_target string, id_target string")
+        return FactDatabase(item, edge, frame([], "guid_holder string, guid_held string"))
+
+    one, two = make(2), make(3)
+    sql = "SELECT COUNT(*) AS n, GROUP_CONCAT(COALESCE(status, 'GROUP_CONCAT(x'), ', ') AS s FROM item"
+    assert [tuple(d.run(sql).first()) for d in (one, two, one)] == [(k, ", ".join(["GROUP_CONCAT(x"] * k)) for k in (2, 3, 2)]
+    assert two.run("WITH x AS (SELECT guid FROM item) SELECT count(*) FROM x;").first()[0] == 3

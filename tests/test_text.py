@@ -99,7 +99,7 @@ def test_quantity_faults(spark):
 
 
 def test_small_forms(spark):
-    assert one(spark, X.cut("t", 12), t="one two of the three") == "one two" and one(spark, X.cut("t", 50), t="as is.") == "as is"
+    assert one(spark, X.cut("t", 12), t="one two of the three") == "one two" and one(spark, X.cut("t", 50), t="as is, to the.") == "as is, to the."
     assert one(spark, X.id_tail("t"), t="https://x/y/sch_a.yaml") == "sch_a"
     assert one(spark, X.verbatim("t", "said:"), t="a\nb") == "said:\n  a\n  b"
     assert one(spark, X.unknown_rules("t", F.array(F.lit("rule_a"))), t="rule_a and rule_b") == ["rule_b"]
@@ -118,11 +118,11 @@ def test_rows_beyond_ascii_count(spark, tmp_path):
 
     from graphloom.plans.text import agg10_phrases, fn19_acronyms, prj06_phrase_gaps
 
-    texts = ["the \u201cAPI\u201d \u2013 per SDK", "CAF\u00c9 and \u00c9AB, AB\u0301, XY\u00b7Z", "plain UTC", "caf\u00e9 only", None]
-    word = re.compile(r"(?<![\w\u0301])[A-Z]{2,6}(?![\w\u0301])")
+    texts = ["the \u201cAPI\u201d \u2013 per SDK", "CAF\u00c9 and \u00c9AB, AB\u0301, XY\u00b7Z", "plain UTC, not GMT-8 or X-EST but A_CET", "caf\u00e9 only", None]
+    word = re.compile(r"(?<![A-Za-z0-9-])[A-Z]{2,6}(?![A-Za-z0-9-])")
     want = {i: ",".join(sorted(set(word.findall(t)))) for i, t in enumerate(texts) if t and word.findall(t)}
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert want[0] == "API,SDK" and want[1] == "XY" and {r["doc_id"]: r["acronyms"] for r in fn19_acronyms(spark, str(tmp_path)).collect()} == want
+    assert want[0] == "API,SDK" and want[2] == "CET,UTC" and {r["doc_id"]: r["acronyms"] for r in fn19_acronyms(spark, str(tmp_path)).collect()} == want
 
     items = [(f"g{i}", "ann", None, "ledger budget" + ("\u2019s \u2014" if i < 4 else "")) for i in range(10)] + [("t", "term", "Ledger", None)]
     spark.createDataFrame(items, "guid string, prefix string, title string, description string").write.parquet(str(tmp_path / "item.parquet"))
@@ -136,15 +136,27 @@ def test_titles_are_cut(spark, tmp_path):
     from graphloom.plans.text import fn12_cut, fn12_cut_short
 
     def brute(title, width):
-        w = title.split()
-        while len(" ".join(w)) > width and len(w) > 1:
+        if len(title) <= width:
+            return title
+        w = title[:width].rsplit(" ", 1)[0].split(" ")
+        while w and re.fullmatch(r"(?i)(and|or|with|of|for|to|the|an?|by|in|on|at|from|as|but|nor)[,;:]*", w[-1]):
             w.pop()
-        while len(w) > 1 and w[-1] in ("a", "an", "the", "of", "to", "and", "or", "in", "on", "for", "with", "by"):
-            w.pop()
-        return re.sub(r"[\s,;:.-]*$", "", " ".join(w))
+        return re.sub("[ ,;:]+$", "", " ".join(w)) or title[:width]
 
-    titles = ["short", "the ledger of the budget and archive", "one two three four five", "word " * 50, "exactly twenty chars and", None]
+    titles = ["short", "the ledger of the budget and archive", "one two three four five", "word " * 50, "exactly twenty chars and", "of the, and to or for with but", "twelve chars, At the end, of,", "uninterruptedlyonelongword", "A plan.", None]
     rows = [(i, "g", t) for i, t in enumerate(titles)]
     spark.createDataFrame(rows, "ord bigint, guid string, title string").write.parquet(str(tmp_path / "item.parquet"))
-    for query, width in ((fn12_cut, 200), (fn12_cut_short, 20)):
+    for query, width in ((fn12_cut, 24), (fn12_cut_short, 12)):
         assert {r["ord"]: r["title"] for r in query(spark, str(tmp_path)).collect()} == {i: t and brute(t, width) for i, t in enumerate(titles)}
+
+
+def test_thousands_are_joined(spark):
+    for text, want in (("10 000 kg", ["10000", "kg"]), ("1,234,567", ["1234567"]), ("1.5 000", ["1.5", "000"]), ("a 24/7 and 3D", ["a", "24/7", "and", "3D"]), ("±5 2000", ["±52000"])):
+        assert one(spark, X.quantity_tokens("t"), t=text) == want
+
+
+def test_capture_forms(spark):
+    df = spark.createDataFrame([("web_page", "Ann", "2024-05-03"), ("post", "Bo", None)], "k string, w string, d string").withColumn("d", F.to_date("d"))
+    assert [r[0] for r in df.select(X.capture_title("k", "w", "d")).collect()] == ["Web page by Ann, 3 May 2024", "Post by Bo"]
+    faults = X.capture_faults(F.lit(2), {"kind": F.col("k"), "day": F.col("d").cast("string")}, [F.lit(""), F.lit(None)])
+    assert [r[0] for r in df.select(faults).collect()] == [["version", "author"], ["lacks day", "version", "author"]]
