@@ -109,21 +109,26 @@ class FactDatabase:
 
     def __init__(self, item: DataFrame, edge: DataFrame, containment: DataFrame, checked: bool = True) -> None:
         self.spark: SparkSession = item.sparkSession
-        self.item, self.edge, self.containment = item, edge, containment
+        self._frames = {"item": item, "edge": edge, "containment": containment}
         if checked:
             twice = item.groupBy("guid").count().where("count > 1").limit(1).collect()
             if twice:
                 raise ValueError(f"guid {twice[0][0]} is declared more than once")
         self._name = f"graphloom_{uuid.uuid4().hex}"
-        for name, df in self._tables().items():
+        for name, df in self._frames.items():
             df.createOrReplaceTempView(f"{self._name}_{name}")
 
-    def _tables(self) -> dict[str, DataFrame]:
-        return {"item": self.item, "edge": self.edge, "containment": self.containment}
+    item = property(lambda self: self._frames["item"])
+    edge = property(lambda self: self._frames["edge"])
+    containment = property(lambda self: self._frames["containment"])
+
+    def with_items(self, item: DataFrame) -> FactDatabase:
+        """A database of other items over the same edges and containment; this one stays as it is."""
+        return FactDatabase(item, self.edge, self.containment, checked=False)
 
     def _over_tables(self, sql: str) -> str:
         """The query with its tables bound by leading common table expressions."""
-        bound = ", ".join(f"{t} AS (SELECT * FROM {self._name}_{t})" for t in self._tables())
+        bound = ", ".join(f"{t} AS (SELECT * FROM {self._name}_{t})" for t in self._frames)
         head = _WITH.match(sql)
         return f"WITH{head[1] or ''} {bound}, {sql[head.end() :]}" if head else f"WITH {bound} {sql}"
 

@@ -6,14 +6,15 @@ the shared folder, so plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.facts import FactDatabase, labelled
 from graphloom.operators.order import numbered
 from graphloom.session import forget, rows_in, written
 
-_STEP = ("depth", "guid", "guid_from", "id_relation", "direction")
+#: Levels of up to so many items are put in order by one task; larger ones by range.
+SMALL = 200_000
 
 
 def adjacency(edge: DataFrame, relations: tuple[str, ...] = (), directions: tuple[str, ...] = ("out", "in")) -> DataFrame:
@@ -32,28 +33,34 @@ def adjacency(edge: DataFrame, relations: tuple[str, ...] = (), directions: tupl
 class Levels:
     """Breadth-first levels from one item; each a written table (guid, pos, guid_from, id_relation, side, ord)."""
 
-    def __init__(self, db: FactDatabase, start: str, relations: tuple[str, ...] = (), directions: tuple[str, ...] = ("out", "in")) -> None:
+    def __init__(self, db: FactDatabase, start: str, relations: tuple[str, ...] = (), directions: tuple[str, ...] = ("out", "in"), adjacent: DataFrame | None = None) -> None:
         spark = db.spark
         first = spark.createDataFrame([(start, 0, None, None, None, None)], "guid string, pos bigint, guid_from string, id_relation string, side int, ord bigint")
         self.levels = [first]
         self.seen = first.select("guid")
-        self.adjacent = written(adjacency(db.edge, relations, directions))
+        self.adjacent = written(adjacency(db.edge, relations, directions)) if adjacent is None else adjacent
 
-    def grow(self) -> bool:
-        """Add the next level; false when there is none.
+    def grow(self, only: DataFrame | None = None) -> bool:
+        """Add the next level, of the items ``only`` (guid) if given; false when there is none.
 
         A new item keeps the edge that reaches it first: by its
         predecessor's place, then out before in, then edge order.
         """
         front = self.levels[-1].select(F.col("guid").alias("guid_from"), F.col("pos").alias("from_pos"))
         met = self.adjacent.join(front, "guid_from").join(self.seen, "guid", "left_anti")
+        met = met if only is None else met.join(only, "guid", "left_semi")
         best = met.groupBy("guid").agg(F.min(F.struct("from_pos", "side", "ord", "guid_from", "id_relation")).alias("x"))
         rows = best.select("guid", "x.from_pos", "x.guid_from", "x.id_relation", "x.side", "x.ord")
-        level = numbered(rows, "from_pos", "side", "ord", "guid")
-        found = rows_in(level)
-        level = level.select("guid", "pos", "guid_from", "id_relation", "side", "ord")
-        if not found:
+        order = ("from_pos", "side", "ord", "guid")
+        rows = written(rows)
+        if not rows_in(rows):
+            forget(rows)
             return False
+        if rows_in(rows) <= SMALL:
+            level = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+        else:
+            level = numbered(rows, *order)
+        level = level.select("guid", F.col("pos").cast("long").alias("pos"), "guid_from", "id_relation", "side", "ord")
         self.levels.append(level)
         self.seen = self.seen.unionByName(level.select("guid"))
         return True
@@ -86,21 +93,59 @@ def walk(db: FactDatabase, name: str, depth: int = 1, relations: tuple[str, ...]
     return labelled(steps, db.item, "guid_from", "id_from").select("depth", "id_self", "guid", "id_from", "id_relation", "direction", "pos")
 
 
+def _between(adjacent: DataFrame, a: str, b: str) -> list[DataFrame] | None:
+    """Of two items, for each distance from the first, the items on shortest paths between them; None when they aren't connected.
+
+    Searches from both ends at once, each time from the end whose outermost
+    level is smaller, until the two meet; then keeps only what lies between.
+    """
+    spark = adjacent.sparkSession
+    rings = [[spark.createDataFrame([(x,)], "guid string")] for x in (a, b)]
+    size = [1, 1]
+    beside = lambda nodes: adjacent.join(nodes.withColumnRenamed("guid", "guid_from"), "guid_from").select("guid").distinct()
+    meeting = rings[0][0].join(rings[1][0], "guid", "left_semi")
+    while meeting.isEmpty():
+        k = 0 if size[0] <= size[1] else 1
+        new = beside(rings[k][-1])
+        for old in rings[k]:
+            new = new.join(old, "guid", "left_anti")
+        new = written(new)
+        size[k] = rows_in(new)
+        if not size[k]:
+            return None
+        rings[k].append(new)
+        meeting = new.join(rings[1 - k][-1], "guid", "left_semi")
+    i = len(rings[0]) - 1
+    kept = {i: written(meeting)}
+    for d in range(i - 1, -1, -1):
+        kept[d] = written(rings[0][d].join(beside(kept[d + 1]), "guid", "left_semi"))
+    length = i + len(rings[1]) - 1
+    for d in range(i + 1, length + 1):
+        kept[d] = written(rings[1][length - d].join(beside(kept[d - 1]), "guid", "left_semi"))
+    for ring in (*rings[0], *rings[1]):
+        forget(ring)
+    return [kept[d] for d in range(length + 1)]
+
+
 def path(db: FactDatabase, source: str, target: str) -> DataFrame | None:
     """The steps of a shortest path, either direction of edges counting [GRF-02].
 
-    Depth numbers the steps from 0. No rows when the two aren't connected;
-    None when either name is unknown; one row when they are the same.
+    Depth numbers the steps from 0 [WIN-08]. No rows when the two aren't
+    connected; None when either name is unknown; one row when they are the
+    same. Of several shortest paths it is the one that a breadth-first walk
+    from the source finds: every predecessor of an item on a shortest path
+    is on one too, so walking only those changes no choice.
     """
     a, b = db.guid_of(source), db.guid_of(target)
     if a is None or b is None:
         return None
-    levels = Levels(db, a)
-    found = a == b
-    while not found and levels.grow():
-        found = not levels.levels[-1].where(F.col("guid") == b).isEmpty()
+    adjacent = written(adjacency(db.edge))
+    between = _between(adjacent, a, b)
+    levels = Levels(db, a, adjacent=adjacent)
     rows, at = [], b
-    if found:
+    if between is not None:
+        for only in between[1:]:
+            levels.grow(only)
         for d in range(len(levels.levels) - 1, -1, -1):  # one looked-up row a level
             r = levels.levels[d].where(F.col("guid") == at).first()
             rows.append((d, at, r["guid_from"], r["id_relation"], {0: "out", 1: "in"}.get(r["side"])))
@@ -163,7 +208,10 @@ def reach(links: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataF
             merged = levels[0]
             for x in levels[1:]:
                 merged = merged.unionByName(x)
-            levels = [written(merged)]
+            old, levels = levels, [written(merged)]
+            for x in old:
+                forget(x)
+            front = levels[0].where(F.col("depth") == depth)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -178,6 +226,7 @@ def propagate(links: DataFrame, levels: DataFrame) -> DataFrame:
     brings it back.
     """
     links = written(links.select("a", "b").where("a is not null and b is not null").distinct())
+    kept = None
     front = written(levels.groupBy("node", "dimension").agg(F.max("level").alias("level")))
     known = None
     while True:
@@ -190,13 +239,15 @@ def propagate(links: DataFrame, levels: DataFrame) -> DataFrame:
             merged = written(both.select("node", "dimension", F.greatest("old", "level").alias("level"), F.coalesce(F.col("level") > F.col("old"), F.col("old").isNull()).alias("better")))
             front = merged.where("better").select("node", "dimension", "level")
             known = merged.select("node", "dimension", "level")
+            forget(kept)
+            kept = merged
             better = front.limit(1).count()
         if not better:
             return known
 
 
-def on_cycles(links: DataFrame) -> DataFrame:
-    """Links (a, b) that lie on a cycle or between cycles: what is left after peeling sources and sinks [GRF-10, GRF-15]."""
+def peeled(links: DataFrame) -> DataFrame:
+    """Links (a, b) that lie on a cycle or between cycles: what is left after taking off sources and sinks, round by round."""
     left = written(links.select("a", "b").where("a is not null and b is not null").distinct())
     size = rows_in(left)
     while size:
@@ -212,14 +263,96 @@ def on_cycles(links: DataFrame) -> DataFrame:
     return left
 
 
+def _greatest_reaching(links: DataFrame) -> DataFrame:
+    """(node, color): the greatest node that reaches each node of the links, itself included."""
+    color = written(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().withColumn("color", F.col("node")))
+    while True:
+        step = color.join(links, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.max("color").alias("met"))
+        new = written(color.join(step, "node", "left").select("node", F.greatest("color", "met").alias("color"), F.coalesce(F.col("met") > F.col("color"), F.lit(False)).alias("moved")))
+        moved = not new.where("moved").isEmpty()
+        forget(color)
+        color = new
+        if not moved:
+            return color.select("node", "color")
+
+
+def on_cycles(links: DataFrame) -> DataFrame:
+    """Links (a, b) that lie on a cycle, a link from a node to itself included [GRF-10, GRF-15].
+
+    What peeling leaves is coloured by the greatest node that reaches each
+    node; the nodes that lead back to the one that gave the colour are
+    strongly connected with it, and are taken out before the rest is peeled
+    and coloured again. A link with both ends in one such set is on a cycle.
+    """
+    left, found = peeled(links), []
+    while rows_in(left):
+        color = written(_greatest_reaching(left))
+        same = written(left.join(color.withColumnsRenamed({"node": "a", "color": "c"}), "a").join(color.withColumnsRenamed({"node": "b", "color": "d"}), "b").where("c = d").select("a", "b", "c"))
+        back = reach(same.select(F.col("b").alias("a"), F.col("a").alias("b")), color.where("node = color").select(F.col("color").alias("root"), "node"))
+        member = written(back.select("node").distinct())
+        ends = lambda df, how: df.join(member.withColumnRenamed("node", "a"), "a", how).join(member.withColumnRenamed("node", "b"), "b", how)  # noqa: B023, E731
+        found.append(written(ends(same, "left_semi").select("a", "b")))
+        rest = peeled(ends(left, "left_anti").select("a", "b"))
+        for x in (left, color, same, member):
+            forget(x)
+        left = rest
+    out = found[0] if found else left
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _implied(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """Of ``starts``, all links (a, b) of some nodes, those whose target is met again after more than one step; no target may be on a cycle.
+
+    One row a source and node, whichever way leads there.
+    """
+    front, seen, hits = starts.select("a", F.col("b").alias("node")), [], []
+    while True:
+        seen.append(front)
+        step = written(front.join(links.withColumnsRenamed({"a": "node", "b": "to"}), "node").select("a", F.col("to").alias("node")).distinct())
+        hits.append(written(step.join(starts.withColumnRenamed("b", "node"), ["a", "node"], "left_semi").select("a", F.col("node").alias("b"))))
+        new = step
+        for x in seen:
+            new = new.join(x, ["a", "node"], "left_anti")
+        front = written(new)
+        forget(step)
+        if not rows_in(front):
+            break
+        if len(seen) > 16:  # keep plans short on deep graphs
+            merged = seen[0]
+            for x in seen[1:]:
+                merged = merged.unionByName(x)
+            old, seen = seen[1:], [written(merged)]
+            for x in old:
+                forget(x)
+    out = hits[0]
+    for x in hits[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def redundant(links: DataFrame) -> DataFrame:
-    """Links (a, b) whose target a longer chain from the same source reaches too; the first step must not be the target itself [GRF-11]."""
+    """Links (a, b) whose target a longer chain from the same source reaches too; the first step must not be the target itself [GRF-11].
+
+    Only sources with several targets, one of which has another link into
+    it, are searched from, and one row a source and node is kept. Only for
+    targets on cycles, which may lead back to themselves, the first step is
+    kept too.
+    """
     links = written(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
     forks = links.groupBy("a").count().where("count > 1").select("a")
-    starts = links.join(forks, "a", "left_semi")
-    first = starts.select(F.struct("a", "b").alias("root"), F.col("b").alias("node"))
-    reached = reach(links, first).where("depth > 0").select(F.col("root.a").alias("a"), F.col("root.b").alias("via"), F.col("node").alias("b"))
-    return starts.join(reached.where("via <> b").select("a", "b").distinct(), ["a", "b"], "left_semi")
+    joins = links.groupBy("b").count().where("count > 1").select("b")
+    wanted = written(links.join(forks, "a", "left_semi").join(joins, "b", "left_semi").select("a", "b"))
+    round_ = written(on_cycles(links).select("b").distinct())
+    plain, odd = wanted.join(round_, "b", "left_anti").select("a", "b"), written(wanted.join(round_, "b", "left_semi").select("a", "b"))
+    starts = written(links.join(plain.select("a").distinct(), "a", "left_semi").select("a", "b"))
+    out = _implied(links, starts).join(plain, ["a", "b"], "left_semi")
+    if rows_in(odd):
+        first = links.join(odd.select("a").distinct(), "a", "left_semi").select(F.struct("a", "b").alias("root"), F.col("b").alias("node"))
+        reached = reach(links, first).where("depth > 0").select(F.col("root.a").alias("a"), F.col("root.b").alias("via"), F.col("node").alias("b"))
+        out = out.unionByName(odd.join(reached.where("via <> b").select("a", "b").distinct(), ["a", "b"], "left_semi").select("a", "b"))
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,7 +382,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def topological_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, level): the longest chain of links (a, b) that ends in a node; nodes on or behind cycles have none [GRF-14]."""
+    """(node, level): the longest chain of links (a, b) that ends in a node; nodes on or behind cycles have none [GRF-14].
+
+    A round takes off what nothing is left before, and reads only the links
+    and nodes that remain.
+    """
     left = written(links.select("a", "b").distinct())
     rest = written(nodes.select("node").distinct())
     level, out = 0, None
@@ -257,9 +394,15 @@ def topological_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
         free = written(rest.join(left.select(F.col("b").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
         if not rows_in(free):
             return out if out is not None else free
-        out = free if out is None else out.unionByName(free)
+        if level % 16 == 15:  # keep the union's plan short on long chains
+            out = written(out.unionByName(free))
+        else:
+            out = free if out is None else out.unionByName(free)
+        old = rest, left
         rest = written(rest.join(free, "node", "left_anti"))
         left = written(left.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
+        for x in old:
+            forget(x)
         level += 1
 
 

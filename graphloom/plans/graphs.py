@@ -51,7 +51,7 @@ def grf01_walk(spark, folder):
     db = database(spark, folder)
     start = _start(db)
     if db.guid_of(start) is None:
-        db.item = db.item.unionByName(spark.createDataFrame([(start, None, "", None, None, None)], db.item.schema))
+        db = db.with_items(db.item.unionByName(spark.createDataFrame([(start, None, "", None, None, None)], db.item.schema)))
     return G.walk(db, start, 3, ("r_decides", "r_derives_from", "r_satisfies")).select("guid", "id_self", "depth")
 
 
@@ -113,8 +113,7 @@ def grf03_orphan_items(spark, folder):
 def grf03_unused_relations(spark, folder):
     """Register relations no edge uses, null relations and all: NOT IN against a null gives nothing."""
     db = database(spark, folder)
-    db.item = table(spark, folder, "register_entry").select("guid", "id_self", "prefix")
-    return G.orphans(db)[1]
+    return G.orphans(db.with_items(table(spark, folder, "register_entry").select("guid", "id_self", "prefix")))[1]
 
 
 @CORE.add("grf03_unused_relations_stated", "with " + over_facts("select 1")[5:-8] + "select id_self from register_entry where prefix = 'r' and id_self not in (select id_relation from edge_f where id_relation is not null)")
@@ -150,7 +149,7 @@ def grf05_neighbourhood(spark, folder):
     db = database(spark, folder)
     hub = _hub(db)
     if db.guid_of(hub) is None:
-        db.item = db.item.unionByName(spark.createDataFrame([(hub, None, "", None, None, None)], db.item.schema))
+        db = db.with_items(db.item.unionByName(spark.createDataFrame([(hub, None, "", None, None, None)], db.item.schema)))
     out, into = G.neighbourhood(db, hub)
     a = out.select(F.lit("out").alias("side"), F.col("id_target").alias("id_other"), "id_relation")
     return a.unionByName(into.select(F.lit("in").alias("side"), F.col("id_source").alias("id_other"), "id_relation"))

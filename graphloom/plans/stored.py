@@ -51,7 +51,7 @@ STORED: dict[str, tuple[str, str | None]] = {
     # items that wait for a decision
     "sql17_undecided": (
         """SELECT open.guid, open.id_self FROM item open WHERE open.prefix IN ('need', 'req', 'term')
-           AND NOT EXISTS (SELECT 1 FROM edge WHERE edge.guid_target = open.guid AND edge.id_relation = 'r_decides') ORDER BY open.id_self""",
+           AND NOT EXISTS (SELECT 1 FROM edge made WHERE made.guid_target = open.guid AND made.id_relation = 'r_decides') ORDER BY open.id_self""",
         None,
     ),
     # annotations about one area that nothing answers

@@ -93,3 +93,18 @@ def test_a_raising_rule_is_an_error(frame, monkeypatch):
     ctx = U.Context(FactDatabase(item, frame([], EDGE), frame([], "guid_holder string, guid_held string")), item, item)
     found, errors = U.run(ctx)
     assert found.count() == 0 and "bad" in errors and U.report(found, ["bad"], errors).first()["status"] == "error"
+
+
+def test_a_rule_that_fails_when_rows_are_read_is_its_own_error(frame, spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import rules as U
+
+    one = spark.createDataFrame([(1,)], "x int")
+    good = lambda c: U.finding(one, "good", F.lit("g"), F.lit("p"), U.ADVISORY, F.lit("m"))
+    bad = lambda c: U.finding(one, "bad", F.lit("g"), F.lit("p"), U.ADVISORY, F.raise_error(F.lit("no")).cast("string"))
+    monkeypatch.setattr(U, "RULES", {"bad": bad, "good": good})
+    context = type("C", (), {"spark": spark})()
+    found, errors = U.run(context)
+    assert [r["id_check"] for r in found.collect()] == ["good"] and list(errors) == ["bad"]
+    assert {r["id_check"]: r["status"] for r in U.report(found, ["bad", "good"], errors).collect()} == {"bad": "error", "good": "advisory"}

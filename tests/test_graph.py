@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from graphloom.operators import graph as G
@@ -131,3 +133,38 @@ def test_numbered(frame):
     got = numbered(frame([(i % 7, i) for i in range(100)], "a int, b int"), "a", "b").orderBy("a", "b").collect()
     assert [r["pos"] for r in got] == list(range(100))
     assert numbered(frame([], "a int, b int"), "a", "b").count() == 0
+
+
+def reachable(pairs):
+    out = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    while True:
+        new = {a: bs | {c for b in bs for c in out.get(b, ())} for a, bs in out.items()}
+        if new == out:
+            return out
+        out = new
+
+
+def test_random_graphs_against_brute_force(frame):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(24):02}", f"n{rng.randrange(24):02}") for _ in range(34)})
+    links = frame(pairs, "a string, b string")
+    to = reachable(pairs)
+    assert rows(G.on_cycles(links)) == [(a, b) for a, b in pairs if a == b or a in to.get(b, ())]
+
+    plain = [(a, b) for a, b in pairs if a != b]
+    other = reachable(plain)
+    want = [(a, b) for a, b in plain if any(v != b and b in other.get(v, ()) for x, v in plain if x == a)]
+    assert want and rows(G.redundant(links)) == want
+
+
+def test_path_is_the_one_a_walk_finds(frame):
+    rng = random.Random(8)
+    names = "abcdefghijkl"
+    d = db(frame, [(rng.choice(names), rng.choice(names)) for _ in range(14)], names)
+    walked = {r["guid"]: r for r in G.walk(d, "a", 20).collect()}
+    far = max(walked.values(), key=lambda r: r["depth"])
+    want, at = [], far
+    while at is not None:
+        want.append((at["depth"], at["guid"], at["direction"]))
+        at = next((r for r in walked.values() if r["id_self"] == at["id_from"]), None)
+    assert far["depth"] > 2 and [(r["depth"], r["guid"], r["direction"]) for r in G.path(d, "a", far["guid"]).orderBy("depth").collect()] == want[::-1]
