@@ -64,17 +64,23 @@ def canonical_capture(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def _digest_of(text: str | None, separators: tuple[str, str]) -> str | None:
+    try:
+        return hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=separators).encode()).hexdigest()[:8]
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(StringType())
 def document_digest(document: pd.Series) -> pd.Series:
     """First 8 hex digits of the digest of a JSON document with its keys in order; null if it doesn't parse [FN-03]."""
+    return document.map(lambda t: _digest_of(t, (", ", ": ")))
 
-    def one(t: str | None) -> str | None:
-        try:
-            return hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest()[:8]
-        except (TypeError, ValueError, RecursionError):
-            return None
 
-    return document.map(one)
+@F.pandas_udf(StringType())
+def compact_digest(document: pd.Series) -> pd.Series:
+    """The same over JSON without spaces between its parts."""
+    return document.map(lambda t: _digest_of(t, (",", ":")))
 
 
 def slug(c: Column | str, prefix: str = "") -> Column:
@@ -172,7 +178,8 @@ def requirement_sentence(
 ) -> Column:
     """The sentence of a requirement's slots; null where they don't compose [FN-13].
 
-    An interaction names its actor and nothing else does; a condition comes
+    Entity, obligation, process and object are always needed; an
+    interaction names its actor and nothing else does; a condition comes
     with its kind.
     """
     act, who, cond, kind = _slot(activity), _slot(actor), _slot(condition), _slot(condition_kind)
@@ -182,13 +189,15 @@ def requirement_sentence(
     action = F.when(act == "interaction", F.concat(F.lit("provide the "), who, F.lit(" with the ability to "), bare)).when(act == "interface", F.concat(F.lit("be able to "), bare)).otherwise(bare)
     tail = F.when(_slot(qualifier) != "", F.concat(F.lit(" "), _slot(qualifier))).otherwise(F.lit(""))
     whole = F.concat(head, F.lit(" "), _slot(obligation), F.lit(" "), action, tail, F.lit("."))
-    return F.when(((act == "interaction") == (who != "")) & ((cond != "") == (kind != "")), whole)
+    there = (_slot(entity) != "") & (_slot(obligation) != "") & (_slot(process) != "") & (_slot(object) != "")
+    return F.when(there & ((act == "interaction") == (who != "")) & ((cond != "") == (kind != "")), whole)
 
 
 def need_sentence(context: str = "context", subject: str = "subject", outcome: str = "outcome", purpose: str = "purpose", entity: str = "entity") -> Column:
-    """The sentence of a need's slots [FN-14]."""
+    """The sentence of a need's slots; null where one but the entity is missing [FN-14]."""
     source = F.when(_slot(entity) != "", F.concat(F.lit(" from the "), _slot(entity))).otherwise(F.lit(""))
-    return F.concat(F.lit("In "), _slot(context), F.lit(", "), _slot(subject), F.lit(" need "), _slot(outcome), source, F.lit(", in order to "), _slot(purpose), F.lit("."))
+    there = (_slot(context) != "") & (_slot(subject) != "") & (_slot(outcome) != "") & (_slot(purpose) != "")
+    return F.when(there, F.concat(F.lit("In "), _slot(context), F.lit(", "), _slot(subject), F.lit(" need "), _slot(outcome), source, F.lit(", in order to "), _slot(purpose), F.lit(".")))
 
 
 def object_form(c: Column | str) -> Column:

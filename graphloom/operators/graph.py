@@ -302,57 +302,43 @@ def on_cycles(links: DataFrame) -> DataFrame:
     return out
 
 
-def _implied(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """Of ``starts``, all links (a, b) of some nodes, those whose target is met again after more than one step; no target may be on a cycle.
-
-    One row a source and node, whichever way leads there.
-    """
-    front, seen, hits = starts.select("a", F.col("b").alias("node")), [], []
-    while True:
-        seen.append(front)
-        step = written(front.join(links.withColumnsRenamed({"a": "node", "b": "to"}), "node").select("a", F.col("to").alias("node")).distinct())
-        hits.append(written(step.join(starts.withColumnRenamed("b", "node"), ["a", "node"], "left_semi").select("a", F.col("node").alias("b"))))
-        new = step
-        for x in seen:
-            new = new.join(x, ["a", "node"], "left_anti")
-        front = written(new)
-        forget(step)
-        if not rows_in(front):
-            break
-        if len(seen) > 16:  # keep plans short on deep graphs
-            merged = seen[0]
-            for x in seen[1:]:
-                merged = merged.unionByName(x)
-            old, seen = seen[1:], [written(merged)]
-            for x in old:
-                forget(x)
-    out = hits[0]
-    for x in hits[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
-
-
 def redundant(links: DataFrame) -> DataFrame:
     """Links (a, b) whose target a longer chain from the same source reaches too; the first step must not be the target itself [GRF-11].
 
-    Only sources with several targets, one of which has another link into
-    it, are searched from, and one row a source and node is kept. Only for
-    targets on cycles, which may lead back to themselves, the first step is
-    kept too.
+    A chain may come through the source again. Only sources with several
+    targets are searched from. Of the first steps that lead from a source to a
+    node two are kept at most, which is enough to know whether any of them
+    differs from the target, so there are two rows a source and node
+    whatever the number of ways.
     """
     links = written(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
     forks = links.groupBy("a").count().where("count > 1").select("a")
-    joins = links.groupBy("b").count().where("count > 1").select("b")
-    wanted = written(links.join(forks, "a", "left_semi").join(joins, "b", "left_semi").select("a", "b"))
-    round_ = written(on_cycles(links).select("b").distinct())
-    plain, odd = wanted.join(round_, "b", "left_anti").select("a", "b"), written(wanted.join(round_, "b", "left_semi").select("a", "b"))
-    starts = written(links.join(plain.select("a").distinct(), "a", "left_semi").select("a", "b"))
-    out = _implied(links, starts).join(plain, ["a", "b"], "left_semi")
-    if rows_in(odd):
-        first = links.join(odd.select("a").distinct(), "a", "left_semi").select(F.struct("a", "b").alias("root"), F.col("b").alias("node"))
-        reached = reach(links, first).where("depth > 0").select(F.col("root.a").alias("a"), F.col("root.b").alias("via"), F.col("node").alias("b"))
-        out = out.unionByName(odd.join(reached.where("via <> b").select("a", "b").distinct(), ["a", "b"], "left_semi").select("a", "b"))
-    return out
+    wanted = written(links.join(forks, "a", "left_semi").select("a", "b"))
+    front = written(wanted.select("a", F.col("b").alias("node"), F.col("b").alias("via")))
+    known = [front]
+    while rows_in(front):
+        step = front.join(links.withColumnsRenamed({"a": "node", "b": "to"}), "node").groupBy("a", F.col("to").alias("node")).agg(F.min("via").alias("low"), F.max("via").alias("high"))
+        had = known[0]
+        for x in known[1:]:
+            had = had.unionByName(x)
+        had = had.groupBy("a", "node").agg(F.collect_set("via").alias("had"))
+        none = F.array().cast("array<string>")
+        both = step.join(had, ["a", "node"], "left").withColumn("had", F.coalesce("had", none))
+        fresh = F.slice(F.array_except(F.array("low", "high"), F.col("had")), F.lit(1), F.lit(2) - F.least(F.size("had"), F.lit(2)))
+        front = written(both.where(F.size("had") < 2).select("a", "node", F.explode(fresh).alias("via")))
+        known.append(front)
+        if len(known) > 16:  # keep plans short on deep graphs
+            merged = known[0]
+            for x in known[1:]:
+                merged = merged.unionByName(x)
+            old, known = known[:-1], [written(merged)]
+            for x in old:
+                forget(x)
+    every = known[0]
+    for x in known[1:]:
+        every = every.unionByName(x)
+    other = every.where("node <> via").select("a", F.col("node").alias("b")).distinct()
+    return wanted.join(other, ["a", "b"], "left_semi").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:

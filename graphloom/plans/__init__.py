@@ -6,7 +6,7 @@ import importlib
 
 from graphloom.plans.registry import CORE, Registry
 
-MODULES = ("references", "nested", "hierarchy", "stored", "graphs", "relational", "text", "assurance", "rules", "streams", "incremental")
+MODULES = ("references", "nested", "hierarchy", "stored", "graphs", "relational", "text", "assurance", "rules", "streams", "incremental", "statements")
 
 
 def load_core() -> Registry:

@@ -99,21 +99,3 @@ def fn27_drifted(spark, folder):
     last = rows.groupBy("guid").agg(F.max(F.struct("recorded_at", text.alias("d"))).alias("x")).select(F.col("guid").alias("subject"), digest("x.d").alias("digest"))
     noted = table(spark, folder, "edge").where("id_relation = 'r_decides'").select(F.lower(F.trim("guid_source")).alias("record"), F.col("guid_target").alias("subject")).distinct().join(first, "subject")
     return A.drifted(noted.where("record is not null"), last)
-
-
-@CORE.add(
-    "chk18_evidence_state",
-    over_facts(
-        """with req as (select distinct 'test' as method, guid_source as "case", guid_target as requirement, (ord % 3)::varchar as digest from edge where id_relation = 'r_verifies'),
-        evd as (select 'test' as method, guid_source as "case", guid_target as requirement, case when ord % 4 = 0 then 'failed' else 'passed' end as outcome, (ord % 2)::varchar as digest from edge where id_relation in ('r_verifies', 'r_satisfies') and ord % 5 > 0),
-        k as (select r.method, r."case", r.requirement, r.digest, min(case when e.requirement is null then 3 when e.outcome <> 'passed' then 2 when e.digest = r.digest then 0 else 1 end) as k
-          from req r left join evd e on r.method = e.method and r."case" is not distinct from e."case" and r.requirement = e.requirement group by 1, 2, 3, 4)
-        select method, "case", requirement, digest, case k when 0 then 'held' when 1 then 'stale' when 2 then 'failed' else 'absent' end as state from k"""
-    ),
-)
-def chk18_evidence_state(spark, folder):
-    e = database(spark, folder).edge
-    pair = [F.lit("test").alias("method"), F.col("guid_source").alias("case"), F.col("guid_target").alias("requirement")]
-    required = e.where("id_relation = 'r_verifies'").select(*pair, (F.col("ord") % 3).cast("string").alias("digest")).distinct()
-    evidence = e.where("id_relation in ('r_verifies', 'r_satisfies') and ord % 5 > 0").select(*pair, F.when(F.col("ord") % 4 == 0, "failed").otherwise("passed").alias("outcome"), (F.col("ord") % 2).cast("string").alias("digest"))
-    return A.evidence_state(required, evidence)
