@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from graphloom.functions.text import acronyms, compact_digest, document_digest, noun_forms, object_form, quantity_faults, quantity_tokens, squeezed
 from graphloom.operators.assurance import ADVISORY, CRITICAL
@@ -209,7 +210,7 @@ def cited(rows: DataFrame, quote: str, source: str) -> DataFrame:
     return rows.withColumn("holds", (q != "") & F.contains(s, q))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_json(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> bool:
         try:
