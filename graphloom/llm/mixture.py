@@ -17,6 +17,8 @@ from graphloom.session import written
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Documents of one source that one task orders at once, about.
 BUCKET_DOCS = 50_000
+#: Targets that are read at most; more are refused, not dropped.
+TARGET_BOUND = 100_000
 
 
 @cache
@@ -120,16 +122,19 @@ def mix(documents: DataFrame, targets: DataFrame, tilts: dict[str, float] | None
     gaps. A source gives documents while their start lies before its share
     of the mix, so it misses that by less than one document.
 
-    Sources are compared trimmed and in lower case; documents without
+    Sources of documents and targets are compared trimmed and in lower case; documents without
     source, text or tokens, and targets without documents, weight or
     repeats take no part. Nothing in common gives an empty mix. Running
     sums are taken over buckets of each source, so no task holds a source.
     """
     docs = sized(documents, path)
     facts = docs.groupBy("source").agg(F.sum("n_token").alias("n"), F.count(F.lit(1)).alias("d"))
-    wanted = targets.select(F.col("source"), "weight", "max_repeat").collect()
+    wanted = targets.select(source_name("source").alias("source"), "weight", "max_repeat").limit(TARGET_BOUND + 1).collect()
+    if len(wanted) > TARGET_BOUND:
+        raise ValueError(f"more than {TARGET_BOUND} targets")
     names = sorted({r[0] for r in wanted if r[0] is not None})
-    have = {r["source"]: (r["n"], r["d"]) for r in facts.where(F.col("source").isin(names)).collect()}
+    listed = F.broadcast(documents.sparkSession.createDataFrame([(n,) for n in names], "source string"))
+    have = {r["source"]: (r["n"], r["d"]) for r in facts.join(listed, "source", "left_semi").collect()}
     plan = plan_mix(have, [tuple(r) for r in wanted], tilts, total)
     spark = documents.sparkSession
     if not plan.share:
@@ -162,7 +167,7 @@ def shares(mixed: DataFrame, targets: DataFrame, quarters: int = 4) -> DataFrame
 
     ``wanted`` is scaled to one over all targets; a source that gave nothing has zeros.
     """
-    scaled = targets.where("source is not null and weight > 0").groupBy("source").agg(F.sum("weight").alias("w"))
+    scaled = targets.withColumn("source", source_name("source")).where("source is not null and weight > 0").groupBy("source").agg(F.sum("weight").alias("w"))
     scaled = scaled.select("source", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("wanted"))
     phase = F.least(F.floor(F.col("at") * quarters), F.lit(quarters - 1)).cast("int")
     cells = mixed.groupBy("source", phase.alias("phase")).agg(F.sum("n_token").alias("n_token"), F.count(F.lit(1)).alias("n_row"), F.max("copy").alias("max_copy"))
