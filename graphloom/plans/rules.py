@@ -28,12 +28,15 @@ def _cut(df):
 
 @CORE.add(
     "chk02_identity",
-    """with p as (select guid, location, min(ord) as ord from item where guid is not null group by 1, 2),
+    """with p as (select guid, concat_ws(' ', location, status) as location, min(ord) as ord from item where guid is not null group by 1, 2),
        q as (select *, row_number() over w as n, first_value(location) over w as f from p window w as (partition by guid order by ord, location nulls first))
        select guid, 'guid_self' as path, 'critical' as severity, concat_ws(' ', 'declared first at', f) as message from q where n > 1""",
 )
 def chk02_identity(spark, folder):
-    return _cut(U.identity(_context(spark, folder)))
+    """A guid's status counts with its location, since redelivered rows keep theirs."""
+    c = _context(spark, folder)
+    c.deliveries = c.deliveries.withColumn("location", F.concat_ws(" ", "location", "status"))
+    return _cut(U.identity(c))
 
 
 @CORE.add(

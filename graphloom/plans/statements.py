@@ -140,11 +140,11 @@ def chk11_verbs(spark, folder):
 _FORMS = "list_concat([verb || e for e in ['ation', 'ment', 'al', 'ance']], [regexp_replace(verb, 'e$', '') || e for e in ['ation', 'ion', 'ment', 'ing', 'al', 'ance', 'ence']])"
 
 
-@CORE.add("chk11_nominals", _sql(f", v as (select distinct lower(w) as verb from (select unnest(regexp_extract_all(lower(brief), '[a-z]+')) as w from x where prefix = 'term')), f as (select noun, min(verb) as verb from (select verb, unnest({_FORMS}) as noun from v) group by 1), s as (select guid, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z]+'), lambda w: w not in ({_OPENING}))[1] as noun from x) select s.guid, s.noun, f.verb from s join f using (noun)"))
+@CORE.add("chk11_nominals", _sql(f", v as (select distinct lower(w) as verb from (select unnest(regexp_extract_all(lower(brief), '[a-z]+')) as w from x)), f as (select noun, min(verb) as verb from (select verb, unnest({_FORMS}) as noun from v) group by 1), s as (select guid, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z]+'), lambda w: w not in ({_OPENING}))[1] as noun from x) select s.guid, s.noun, f.verb from s join f using (noun)"))
 def chk11_nominals(spark, folder):
-    """Titles that open with a noun made from a word of some term's prose [FN-20]."""
+    """Titles that open with a noun made from a word of some item's prose [FN-20]."""
     x = held(spark, folder)
-    verbs = x.where("prefix = 'term'").select(F.explode(F.regexp_extract_all(F.lower("brief"), F.lit("([a-z]+)"), F.lit(1))).alias("term"))
+    verbs = x.select(F.explode(F.regexp_extract_all(F.lower("brief"), F.lit("([a-z]+)"), F.lit(1))).alias("term"))
     return S.nominal_objects(x.select("guid", F.col("title").alias("object")), verbs)
 
 
@@ -290,12 +290,12 @@ def sup34_first_list(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", S.first_list("text").alias("list"))
 
 
-@CORE.add("win03_prefix_claims", "with p as (select split_part(id_self, '_', 1) as prefix, split_part(location, '/', 1) as dir, min(ord) as ord from item where id_self is not null group by 1, 2), q as (select *, row_number() over w as n, first_value(dir) over w as first_dir from p window w as (partition by prefix order by ord, dir nulls first)) select prefix, dir, first_dir from q where n > 1")
+@CORE.add("win03_prefix_claims", "with p as (select split_part(id_self, '_', 1) as prefix, status as dir, min(ord) as ord from item where id_self is not null group by 1, 2), q as (select *, row_number() over w as n, first_value(dir) over w as first_dir from p window w as (partition by prefix order by ord, dir nulls first)) select prefix, dir, first_dir from q where n > 1")
 def win03_prefix_claims(spark, folder):
-    """Directories that use a type prefix which another used before [WIN-03]."""
+    """Statuses that come with a type prefix which another came with before; a directory has one prefix here [WIN-03]."""
     from graphloom.operators.relational import repeats
 
-    rows = table(spark, folder, "item").where("id_self is not null").groupBy(F.substring_index("id_self", "_", 1).alias("prefix"), F.substring_index("location", "/", 1).alias("dir")).agg(F.min("ord").alias("ord"))
+    rows = table(spark, folder, "item").where("id_self is not null").groupBy(F.substring_index("id_self", "_", 1).alias("prefix"), F.col("status").alias("dir")).agg(F.min("ord").alias("ord"))
     return repeats(rows, ["prefix"], "ord", "dir", keep=["dir"]).select("prefix", "dir", "first_dir")
 
 

@@ -20,10 +20,11 @@ def str02_upserting(spark, folder):
     return S.upserting(spark, f"{folder}/item.parquet", "guid", "recorded_at", ["status"])
 
 
-@CORE.add("str03_stale_captures", "with l as (select guid_self, max(content_digest) as now from observation where guid_self is not null group by 1) select o.guid_self, o.content_digest from observation o join l using (guid_self) where content_digest is distinct from now")
+@CORE.add("str03_stale_captures", "with l as (select source_kind, max(content_digest) as now from observation where source_kind is not null group by 1) select o.source_kind, o.content_digest from observation o join l using (source_kind) where content_digest is distinct from now")
 def str03_stale_captures(spark, folder):
-    now = table(spark, folder, "observation").where("guid_self is not null").groupBy("guid_self").agg(F.max("content_digest").alias("content_digest"))
-    return S.stale_captures(spark, f"{folder}/observation.parquet", now, "guid_self", "content_digest")
+    """Captures whose digest isn't the greatest of their kind, which stands for the current one."""
+    now = table(spark, folder, "observation").where("source_kind is not null").groupBy("source_kind").agg(F.max("content_digest").alias("content_digest"))
+    return S.stale_captures(spark, f"{folder}/observation.parquet", now, "source_kind", "content_digest")
 
 
 @CORE.add("str_windowed_counts", "select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as start, event_type, count(*) as n from events where ts is not null group by 1, 2")
