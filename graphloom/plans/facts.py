@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from graphloom.functions.keys import SPACE
 from graphloom.operators.facts import FactDatabase
-from graphloom.session import table
+from graphloom.session import still_there, table
 
 FACTS = f"""item_f as (
   select guid, id_self, split_part(coalesce(id_self, ''), '_', 1) as prefix, status, location, ord from (
@@ -45,6 +45,6 @@ def database(spark: SparkSession, folder: str) -> FactDatabase:
     """The fact database of a data folder, derived and stored once while the application lasts and its tables stay as they are."""
     names = ("item", "edge", "containment")
     stamp = (spark.sparkContext.applicationId, *(_stamp(spark, f"{folder}/{n}.parquet") for n in names))
-    if stamp not in _STORED:
+    if stamp not in _STORED or not all(still_there(df) for df in (_STORED[stamp].item, _STORED[stamp].edge, _STORED[stamp].containment)):
         _STORED[stamp] = FactDatabase.of(*(table(spark, folder, n) for n in names))
     return _STORED[stamp]

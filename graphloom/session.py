@@ -73,6 +73,13 @@ def rows_in(df: DataFrame) -> int:
     return df.count() if known is None else known
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether a table that ``written`` made is still in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(df._graphloom_path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+
 def forget(df: DataFrame | None) -> None:
     """Remove a table that ``written`` made, once nothing reads it any more."""
     path = getattr(df, "_graphloom_path", None)

@@ -167,3 +167,21 @@ def test_two_databases_do_not_meet(frame):
     sql = "SELECT COUNT(*) AS n, GROUP_CONCAT(COALESCE(status, 'GROUP_CONCAT(x'), ', ') AS s FROM item"
     assert [tuple(d.run(sql).first()) for d in (one, two, one)] == [(k, ", ".join(["GROUP_CONCAT(x"] * k)) for k in (2, 3, 2)]
     assert two.run("WITH x AS (SELECT guid FROM item) SELECT count(*) FROM x;").first()[0] == 3
+
+
+def test_a_stored_database_is_made_anew_when_its_tables_change_or_go(frame, spark, tmp_path):
+    from graphloom.plans.facts import database
+    from graphloom.session import forget
+
+    item = "guid string, id_self string, status string, location string, ord bigint, recorded_at timestamp"
+    put = lambda n: frame([(f"g{i}", "a_1", None, "f", i, None) for i in range(n)], item).write.mode("overwrite").parquet(f"{tmp_path}/item.parquet")
+    frame([], "ord bigint, guid_source string, id_relation string, guid_target string, id_target string").write.parquet(f"{tmp_path}/edge.parquet")
+    frame([], "ord bigint, guid_holder string, guid_held string").write.parquet(f"{tmp_path}/containment.parquet")
+    put(2)
+    one = database(spark, str(tmp_path))
+    assert database(spark, str(tmp_path)) is one and one.item.count() == 2
+    forget(one.edge)
+    two = database(spark, str(tmp_path))
+    assert two is not one and two.edge.count() == 0
+    put(5)
+    assert database(spark, str(tmp_path)).item.count() == 5
